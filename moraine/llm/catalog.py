@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.llm import mixing, ogg, simhash, urlfilter
+from moraine.llm import langid, mixing, ogg, simhash, toxicity, urlfilter
 
 #: fixed values: the rules of the url contract, (host, path, action)
 URL_RULES = [
@@ -24,6 +24,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(id_col):
+    """Rows whose crc32(id as text) mod 5 is 0.  A null id has no remainder: it is held out, so nothing is learned from it."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(True))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid.identify(docs, langid.train(docs.where(~held_out("doc_id"))), spans=False)
+    return out.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), F.col("lang").alias("lang_pred"), "score", "n_words")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs.where(~held_out("doc_id")), table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score", "predicted")
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.simhash_components(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -57,7 +74,7 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM m WH
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash_near_dedup, op5_ogg_media, op7_mixing, op8_url_filter)}
+    return {f.__name__: f for f in (op2_language_id, op3_simhash_near_dedup, op5_ogg_media, op7_mixing, op8_url_filter, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
