@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.llm import decontaminate, langid, licenses, mixing, ogg, simhash, toxicity, urlfilter
+from moraine.llm import decontaminate, langid, licenses, mixing, ogg, simhash, suffixes, toxicity, urlfilter
 
 #: fixed values: the rules of the url contract, (host, path, action)
 URL_RULES = [
@@ -24,6 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.repeated_bytes(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
+
+
 def held_out(id_col):
     """Rows whose crc32(id as text) mod 5 is 0.  A null id has no remainder: it is held out, so nothing is learned from it."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(True))
@@ -103,7 +108,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_simhash_near_dedup, op4_decontaminate, op5_ogg_media, op7_mixing, op8_url_filter, op9_license_scan, op10_toxicity)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_simhash_near_dedup, op4_decontaminate, op5_ogg_media, op7_mixing, op8_url_filter, op9_license_scan, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
