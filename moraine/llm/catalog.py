@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.llm import decontaminate, langid, licenses, mixing, ogg, simhash, suffixes, toxicity, urlfilter
+from moraine.llm import decontaminate, langid, licenses, mixing, ogg, simhash, suffixes, toxicity, urlfilter, warc
 
 #: fixed values: the rules of the url contract, (host, path, action)
 URL_RULES = [
@@ -75,6 +75,14 @@ def op5_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_columns(table(spark, sf_dir, "documents"), keep_media=False).withColumnRenamed("id", "doc_id")
 
 
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.parse_warc(warc.capture_pages(table(spark, sf_dir, "pages")))
+    out = warc.resolve_revisits(records)
+    headers = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e.key, F.lit("="), e.value))), "\n")
+    page = F.split("record_id", ":")[2].cast("bigint")
+    return out.select(page.alias("page_id"), "record_id", "canonical", "outcome", "response_id", "digest", "body_bytes", F.sha2(headers.cast("binary"), 256).alias("headers_sha256"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_to_weights(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies")
 
@@ -108,7 +116,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_simhash_near_dedup, op4_decontaminate, op5_ogg_media, op7_mixing, op8_url_filter, op9_license_scan, op10_toxicity)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_simhash_near_dedup, op4_decontaminate, op5_ogg_media, op6_warc_revisits, op7_mixing, op8_url_filter, op9_license_scan, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
