@@ -85,7 +85,8 @@ def marginals(e: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.nda
         stepped = (m.reshape(-1, k) @ move).reshape(blocks, k, k)
         fresh = new[:, t]
         if fresh.any():
-            stepped[fresh] = begin
+            # the label after it is free, but what was before it still weighs by the label before the block
+            stepped[fresh] = m[fresh].sum(axis=2, keepdims=True) * begin
         m = stepped * x[:, t, None, :]
         m /= m.max(axis=(1, 2), keepdims=True)
     into, after = np.empty((blocks, k)), np.empty((blocks, k))
