@@ -14,7 +14,7 @@ from moraine.llm._common import Scratch
 from moraine.llm.catalog import held_out, table
 
 #: near-duplicates: word shingles and the bits in which two 64-bit fingerprints may differ
-SHINGLE, DISTANCE = 5, 4
+SHINGLE, DISTANCE = 5, 6
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,16 +24,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of smallest doc_id, of equal ids the smallest text digest.
+    """One document of each group of near copies: the one of smallest doc_id (null first), of equal ids the one of smallest hash.
 
     Documents without words all have fingerprint zero; they are one group.
     """
-    rows = docs.withColumn("_fp_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    groups = simhash.simhash_components(rows.withColumn("_row", F.struct("doc_id", "_fp_key")), "_row", "text", SHINGLE, DISTANCE)
-    first = groups.groupBy("class_fp").agg(F.min("id").alias("id")).select(F.col("id.doc_id").alias("_id"), F.col("id._fp_key").alias("_key"))
-    met = rows.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_fp_key") == F.col("_key")), "left_semi")
-    # rows repeated whole are one group as well: one of them stays
-    return met.drop("_fp_key").dropDuplicates()
+    text = F.coalesce("text", F.lit(""))
+    # two hashes name a row's document: its id and text
+    rows = docs.withColumn("_one", F.xxhash64("doc_id", text)).withColumn("_two", F.xxhash64(text, F.lit("two"), "doc_id"))
+    groups = simhash.simhash_components(rows.withColumn("_row", F.struct("doc_id", "_one", "_two")), "_row", "text", SHINGLE, DISTANCE)
+    first = groups.groupBy("class_fp").agg(F.min("id").alias("id")).select("id._one", "id._two")
+    # rows repeated whole are one document as well
+    return rows.join(first, ["_one", "_two"], "left_semi").dropDuplicates(["_one", "_two"]).drop("_one", "_two")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,15 +5,15 @@ Fingerprint
     the shingles, repeats counted.  Fewer words than the shingle length: the whole sequence is the only shingle.
     No words: zero.
 Links
-    Two fingerprints that differ in at most ``max_distance`` bits.  The 64 bits are cut into ``max_distance + 2``
-    blocks; a close pair agrees in two of them at least, so fingerprints meet on every pair of blocks (for
-    distance 2: six keys of 32 bits).  Only distinct fingerprints take part, so exact copies cost nothing.
+    Two fingerprints that differ in at most ``d`` bits.  The 64 bits are cut into d + k blocks (k is 2 for d up to 2, else 3), so a close
+    pair agrees in k of them at least; fingerprints meet on every choice of k blocks (d = 2: six keys of 32 bits, d = 6: 84 of 21).
+    Only distinct fingerprints take part, so exact copies cost nothing.
 Hot blocks
-    A block key that more than ``hot`` fingerprints share is not joined with itself, which would emit the square
-    of its size.  Its members go another exact way: each emits every value within ``max_distance / 2`` flipped
-    bits of itself (65 for distance 2).  Two fingerprints are at most ``max_distance`` apart if and only if they
-    have such a value in common, so hanging each on the smallest one of a value yields the same components
-    with a linear number of rows.
+    A key that more than ``hot`` fingerprints share is not joined with itself, which would emit the square of its size.  Its members
+    are searched breadth first instead: those not reached yet are compared with those reached, and only the link by which each is
+    reached is emitted, so the block's components come out exactly, from fewer links than members.  In a dense block, as near copies of
+    one text make, nearly all are reached at once.  A block of more than ``CHUNK`` members is dealt in chunks, a task for each pair of
+    them, so no task holds more than two.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; null ids keep their rows,
 and a component's id is the smallest non-null id in it (null if there is none); repeated rows stay repeated;
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from moraine.llm._common import ASCII_LOWER, Scratch, connected_components
 
 SEED = 42
+CHUNK = 1 << 18  # members of a hot block that are searched together, twice as many at most
 PIECE = 1 << 16  # shingles whose bits are counted at a time: bounds memory for texts of any length
 
 
@@ -66,39 +67,85 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return source.mapInArrow(kernel, f"id {id_type}, fp bigint")
 
 
-def _slices(parts: int) -> list[tuple[int, int]]:
-    """(shift, width) of ``parts`` blocks that cover 64 bits."""
-    cuts = [64 * i // parts for i in range(parts + 1)]
-    return [(lo, hi - lo) for lo, hi in itertools.pairwise(cuts)]
+def block_masks(d: int) -> np.ndarray:
+    """The bits that each key keeps of a fingerprint: every choice of k of d + k blocks."""
+    k = 2 if d <= 2 else 3
+    cuts = [64 * i // (d + k) for i in range(d + k + 1)]
+    blocks = [((1 << hi) - (1 << lo)) for lo, hi in itertools.pairwise(cuts)]
+    return np.array([sum(c) for c in itertools.combinations(blocks, k)], np.uint64)
 
 
-def block_keys(fp, max_distance: int):
-    """Array of (pair of blocks, their bits): any two fingerprints within the distance share one at least."""
-    cuts = _slices(max_distance + 2)
-    piece = lambda s, w: F.shiftrightunsigned(fp, s).bitwiseAND(F.lit((1 << w) - 1).cast("bigint"))
-    return F.array(*[F.struct(F.lit(k).alias("pair"), F.shiftleft(piece(*x), y[1]).bitwiseOR(piece(*y)).alias("bits")) for k, (x, y) in enumerate(itertools.combinations(cuts, 2))])
+def block_keys(fps: DataFrame, d: int) -> DataFrame:
+    """(choice, bits, fp): a row for each key of each fingerprint; any two within d bits share one at least."""
+    masks = block_masks(d)
+    n = len(masks)
+
+    def kernel(batches):
+        for batch in batches:
+            fp = batch.column(0).to_numpy().view(np.uint64)
+            for at in range(0, len(fp), 1024):
+                part = fp[at : at + 1024]
+                bits = (part[:, None] & masks[None, :]).ravel().view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(n, dtype=np.int32), len(part))), pa.array(bits), pa.array(np.repeat(part, n).view(np.int64))], names=["choice", "bits", "fp"])
+
+    return fps.select("fp").mapInArrow(kernel, "choice int, bits bigint, fp bigint")
+
+
+def reach(fps: np.ndarray, d: int) -> list[tuple[int, int]]:
+    """Links that connect what is connected among distinct fingerprints (uint64), each member reached by one: breadth first."""
+    links, rest = [], np.unique(fps)
+    while len(rest):
+        front, rest = rest[:1], rest[1:]
+        while len(front) and len(rest):
+            block, front = front[:32], front[32:]
+            near = np.bitwise_count(rest[:, None] ^ block[None, :]) <= d
+            got = near.any(axis=1)
+            links += zip(rest[got].tolist(), block[near[got].argmax(axis=1)].tolist())
+            front, rest = np.concatenate((front, rest[got])), rest[~got]
+    return links
+
+
+def _hot_links(rows: DataFrame, d: int) -> DataFrame:
+    """(a, b) links within hot blocks, rows of (choice, bits, n, fp)."""
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    mine = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+    dealt = rows.withColumn("chunks", chunks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    by = ["choice", "bits", "x", "y"]
+    dealt = dealt.select("choice", "bits", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "fp")
+
+    def solve(fps):
+        got = np.array(reach(np.array(fps, np.int64).view(np.uint64), d), np.uint64).reshape(-1, 2).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+
+    def kernel(batches):
+        held, fps = None, []
+        for batch in batches:
+            for *key, fp in zip(*(batch.column(c).to_pylist() for c in [*by, "fp"])):
+                if key != held:
+                    if len(fps) > 1:
+                        yield solve(fps)
+                    held, fps = key, []
+                fps.append(fp)
+        if len(fps) > 1:
+            yield solve(fps)
+
+    return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(kernel, "a bigint, b bigint")
 
 
 def close_links(fps: DataFrame, scratch: Scratch, max_distance: int = 2, hot: int = 64) -> DataFrame:
     """(a, b) links between distinct fingerprints of column ``fp``: every close pair of a block that isn't hot, and for
     hot blocks links that connect the same fingerprints."""
-    if max_distance not in (0, 2, 4):
-        raise ValueError("max_distance is 0, 2 or 4: the exact way for hot blocks needs an even distance")
-    blocks = fps.select("fp", F.inline(block_keys(F.col("fp"), max_distance)))
-    sizes = scratch.keep(blocks.groupBy("pair", "bits").agg(F.count("*").alias("n")).where("n > 1"))
-    small = blocks.join(sizes.where(F.col("n") <= hot), ["pair", "bits"])
-    x, y = small.select("pair", "bits", F.col("fp").alias("a")), small.select("pair", "bits", F.col("fp").alias("b"))
-    joined = x.join(y, ["pair", "bits"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance)).select("a", "b")
-    crowd = blocks.join(sizes.where(F.col("n") > hot).select("pair", "bits"), ["pair", "bits"], "left_semi").select("fp").distinct()
-    flips = [0]
-    for k in range(1, max_distance // 2 + 1):
-        for bits in itertools.combinations(range(64), k):
-            mask = sum(1 << i for i in bits)
-            flips.append(mask - (1 << 64) if mask >> 63 else mask)
-    near = crowd.select("fp", F.explode(F.array(*[F.lit(m).cast("bigint") for m in flips])).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("near"))
-    least = near.groupBy("near").agg(F.min("fp").alias("b"), F.max("fp").alias("most")).where("b <> most").select("near", "b")
-    star = near.join(least, "near").where("fp <> b").select(F.col("fp").alias("a"), "b")
-    return joined.unionByName(star).distinct()
+    if not 0 <= max_distance <= 8:
+        raise ValueError("max_distance is 0 to 8: beyond it the blocks are too narrow to tell texts apart")
+    key = ["choice", "bits"]
+    blocks = scratch.keep(block_keys(fps, max_distance))
+    sizes = scratch.keep(blocks.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"))
+    shared = scratch.keep(blocks.join(sizes, key))
+    scratch.drop(blocks)
+    small = shared.where(F.col("n") <= hot)
+    x, y = small.select(*key, F.col("fp").alias("a")), small.select(*key, F.col("fp").alias("b"))
+    joined = x.join(y, key).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance)).select("a", "b")
+    return joined.unionByName(_hot_links(shared.where(F.col("n") > hot), max_distance)).distinct()
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_distance: int = 2, hot: int = 64) -> DataFrame:
