@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import duck, same_rows
+from oracles import duck, same_rows
 from moraine.plans import acceptance
 
 SQL = acceptance.oracle_sql()
