@@ -1,14 +1,17 @@
 """Benchmark decontamination by a distributed positional inverted index.  DataFrame functions only.
 
 Test windows are all runs of ``width`` words of an item; a shorter item is one window.  How often each test term stands in the training
-texts is counted over all of them; the rarest term of a window is where its search begins.  Training postings (term, text,
-position) are stored for those terms and, around each such posting, for the terms that stand within a window's reach of it; no
-other posting can matter.  A window's candidate starts are the postings of its rarest term less that term's offset; the
-lists of its other terms, offset-adjusted, are intersected with them by one equi-join on (text, posting, term).  All terms at their
-offsets: an exact phrase match.  At least ``near`` of the window's terms within the reach, in any order: a proximity match.
+texts is counted over all of them; the rarest term of a window is where its search begins.  The index stores the training postings of
+those terms, (term, text, position), each with the block of postings around it: the terms at the positions within a window's reach.  No
+other posting can matter.  A window's candidate starts are the postings of its rarest term less that term's offset.  At a
+candidate start the offset-adjusted lists of all its terms are intersected by comparing the block with them: all terms at their offsets are
+an exact phrase match; at least ``near`` of its different terms anywhere in the block, in any order, a proximity match.
 
-A frequent term costs postings only if it is the rarest of some window.  The test side is broadcast only if its rows
-number ``BROADCAST`` at most, which is counted first; beyond that the same joins shuffle, and adaptive execution splits hot terms.
+A frequent term costs postings only if it is the rarest of some window.  Texts are not shuffled, postings neither: blocks meet the test
+side by broadcast if its rows number ``BROADCAST`` at most, which is counted first; beyond that the same joins shuffle, and adaptive
+execution splits hot terms.
+
+Terms are found by their Unicode lower case, which words that agree but for A-Z share, and then compared with only A-Z lower-cased.
 
 Defined results: null and empty training texts have no words and no matches; null and empty items have no windows; items with the
 same id count once; a null item id counts as the empty string; repeated rows stay repeated; empty tables give
@@ -21,15 +24,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from moraine.llm._common import Scratch
-from moraine.llm.tokens import count_words, positions, text_key, words
+from moraine.llm.tokens import count_words, lowered, positions, raw_words, text_key
 
 WIDTH = 10
-BROADCAST = 200_000  # rows of (term, window) on the test side; each under 100 bytes but for odd words
+BROADCAST = 200_000  # rows of (term, window) on the test side; each some 200 bytes but for odd words
 
 
 def test_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """(window, item, terms): each distinct run of words, with a number made of its words, and the items that hold it."""
-    rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), words(F.col(text_col)).alias("words")).where(F.size("words") > 0)
+    rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), lowered(raw_words(F.col(text_col))).alias("words")).where(F.size("words") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - (width - 1), F.lit(1)))
     runs = rows.select("item", "words", F.explode(starts).alias("start")).select("item", F.slice("words", F.col("start"), width).alias("terms"))
     return runs.select(F.unhex(F.md5(F.array_join("terms", " ").cast("binary"))).alias("window"), "item", "terms").distinct()
@@ -40,39 +43,36 @@ def _small(df: DataFrame, n: int) -> DataFrame:
 
 
 def term_counts(docs: DataFrame, terms: DataFrame, n_terms: int, text_col: str = "text") -> DataFrame:
-    """(term, n): how often each of ``terms`` stands in all texts."""
-    seen = positions(docs, text_col).select(F.col("word").alias("term")).join(_small(terms, n_terms), "term", "left_semi")
+    """(term, n): how often each of ``terms``, lower-cased, stands in all texts."""
+    seen = positions(docs, text_col).select(F.lower("word").alias("term")).join(_small(terms, n_terms), "term", "left_semi")
     return terms.join(seen.groupBy("term").agg(F.count("*").alias("n")), "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def find_matches(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, slop: int = 0, near: float = 1.0, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
-    """(matches, windows).  matches: key (of the text), window, start, size, kind ('exact' or 'near'), each once;
-    windows: those of ``test_windows``.  ``slop`` words more on either side may hold the terms of a near match."""
+def store_postings(docs: DataFrame, terms: DataFrame, n_terms: int, reach: int, text_col: str = "text") -> DataFrame:
+    """(term, key, pos, base, block): the postings of ``terms``; block holds the words at positions base, base + 1, ... around pos."""
+    hubs = positions(docs, text_col).withColumn("term", F.lower("word")).join(_small(terms, n_terms), "term", "left_semi")
+    base = F.greatest(F.col("pos") - reach, F.lit(0))
+    return hubs.select("term", "key", "pos", base.alias("base"), lowered(F.slice("words", base + 1, F.col("pos") - base + (reach + 1))).alias("block"))
+
+
+def find_matches(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, slop: int = 0, near: float | None = None, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+    """(matches, windows).  matches: key (of the text), window, start, size, kind ('exact' or 'near'), each once; near ones only if ``near``, a share
+    of a window's terms, is given; ``slop`` words more on either side may then hold them.  windows: those of ``test_windows``."""
     scratch = scratch or Scratch(docs.sparkSession, "decontaminate")
     windows = scratch.keep(test_windows(items, item_id_col, item_text_col, width))
-    distinct = windows.select("window", "terms").distinct()
-    spots = scratch.keep(distinct.select("window", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term")))
-    terms = spots.select("term").distinct()
+    spots = scratch.keep(windows.select("window", "terms").distinct().select("window", "terms", F.posexplode("terms").alias("offset", "term")).withColumn("term", F.lower("term")))
     n_spots = spots.count()
-    counts = scratch.keep(term_counts(docs, terms, n_spots, text_col))
+    counts = scratch.keep(term_counts(docs, spots.select("term").distinct(), n_spots, text_col))
     rarest = Window.partitionBy("window").orderBy("n", "term", "offset")
-    anchors = spots.join(counts, "term").withColumn("k", F.row_number().over(rarest)).where("k = 1 AND n > 0").select("term", "window", "size", F.col("offset").alias("at"))
+    anchors = spots.join(counts, "term").withColumn("k", F.row_number().over(rarest)).where("k = 1 AND n > 0").select("term", "window", "terms", F.col("offset").alias("at"))
     anchors = scratch.keep(anchors)
-    reach = width - 1 + slop
-    # stored postings: each posting of a search's first term (its position is ``hub``) with the terms around it
-    hubs = positions(docs, text_col).join(_small(anchors.select(F.col("term").alias("word")).distinct(), n_spots), "word", "left_semi")
-    around = F.slice("words", F.greatest(F.col("pos") - reach, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(reach)) + reach + 1)
-    hubs = hubs.select("key", F.col("word").alias("hub_term"), F.col("pos").alias("hub"), F.greatest(F.col("pos") - reach, F.lit(0)).alias("base"), around.alias("around"))
-    index = scratch.keep(hubs.dropDuplicates(["key", "hub"]))
-    postings = index.select("key", "hub", "base", F.posexplode("around").alias("i", "term")).select("key", "hub", (F.col("base") + F.col("i")).alias("p"), "term")
-    # candidate starts, then the offset-adjusted list of every term of the window
-    starts = index.select("key", "hub", F.col("hub_term").alias("term")).join(_small(anchors, n_spots), "term").select("key", "hub", "window", "size", (F.col("hub") - F.col("at")).alias("start"))
-    wanted = starts.join(_small(spots.select("window", "offset", "term"), n_spots), "window")
-    met = wanted.join(postings, ["key", "hub", "term"])
-    exact = F.count_distinct(F.when(F.col("p") == F.col("start") + F.col("offset"), F.col("offset")))
-    found = met.groupBy("key", "window", "hub", "start", "size").agg(exact.alias("n_exact"), F.count_distinct("offset").alias("n_near"))
-    kind = F.when(F.col("n_exact") == F.col("size"), "exact").when(F.col("n_near") >= F.ceil(F.col("size") * F.lit(near)), "near")
-    matches = found.select("key", "window", "start", "size", kind.alias("kind")).where("kind IS NOT NULL")
+    index = scratch.keep(store_postings(docs, anchors.select("term").distinct(), n_spots, width - 1 + slop, text_col))
+    tried = index.join(_small(anchors, n_spots), "term").withColumn("start", F.col("pos") - F.col("at")).withColumn("size", F.size("terms"))
+    meets = F.slice("block", F.greatest(F.col("start") - F.col("base") + 1, F.lit(1)), F.col("size")) == F.col("terms")
+    kind = F.when((F.col("start") >= 0) & meets, "exact")
+    if near is not None:
+        kind = kind.when(F.size(F.array_intersect("block", "terms")) >= F.ceil(F.size(F.array_distinct("terms")) * F.lit(near)), "near")
+    matches = tried.select("key", "window", "start", "size", kind.alias("kind")).where("kind IS NOT NULL").distinct()
     return matches, windows
 
 

@@ -62,9 +62,15 @@ def _grams(spark, k: int) -> DataFrame:
     return df.groupBy(h.alias(f"h{k}")).agg(F.collect_list(F.struct("template", "t", "gram")).alias(f"hits{k}"))
 
 
+def _lower(text):
+    """Lower case by which the same words become ASCII words as by lower-casing A-Z alone: the two other characters whose lower case
+    begins with an ASCII letter are replaced before.  Words with characters beyond ASCII match no template either way."""
+    return F.lower(F.replace(F.replace(text, F.lit("\u212a"), F.lit("\u03ba")), F.lit("\u0130"), F.lit("\u03ba")))
+
+
 def find_hits(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(key, template, p, t): each place where a text's k-gram is a template's, once for each distinct text."""
-    at = positions(docs, text_col)
+    at = positions(docs, text_col, _lower)
     for k in (PHRASE_K, NOTICE_K):
         at = at.withColumn(f"h{k}", F.xxhash64(*[F.get("words", F.col("pos") + i) for i in range(k)]))
     for k in (PHRASE_K, NOTICE_K):
