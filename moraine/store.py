@@ -60,6 +60,7 @@ class Store:
     def __init__(self, spark: SparkSession, path: str, options: StoreOptions):
         self.spark, self.path, self.options, self.closed = spark, f"{path.rstrip('/')}/MORAINE", options, False
         self.stats = SearchStats()
+        self._cached: tuple[int, DataFrame] | None = None
         paths.make_dir(spark, self.path)
         self._lock()
         self.log = ManifestLog(spark, self.path)
@@ -93,6 +94,7 @@ class Store:
         """The log is durable, so nothing is flushed.  A second close does nothing."""
         if not self.closed:
             self.closed = True
+            self._drop_cache()
             paths.delete_path(self.spark, f"{self.path}/LOCK")
             with _GUARD:
                 _OPEN.discard(self.path)
@@ -202,6 +204,18 @@ class Store:
         """(key, value) of every live key.  A filter on key passes below the ranking; one on value stays above it."""
         return self._newest(self.entries()).where("NOT is_deleted").select("key", "value")
 
+    def cached_snapshot(self) -> DataFrame:
+        """The snapshot, persisted until the store changes or closes."""
+        if self._cached is None or self._cached[0] != self.manifest.version:
+            self._drop_cache()
+            self._cached = self.manifest.version, self.snapshot().persist()
+        return self._cached[1]
+
+    def _drop_cache(self) -> None:
+        if self._cached is not None:
+            self._cached[1].unpersist()
+            self._cached = None
+
     def scan(self, lo: bytes | None = None, hi: bytes | None = None) -> DataFrame:
         """Live rows with lo <= key <= hi in the store's order: runs outside the range aren't opened, and within files statistics prune."""
         self._check()

@@ -88,6 +88,14 @@ def test_delete_across_runs(spark, store):
     assert contents(store) == {b"other": b"x"}
 
 
+def test_cached_snapshot(store):
+    store.put(b"k", b"1")
+    first = store.cached_snapshot()
+    assert first.is_cached and store.cached_snapshot() is first
+    store.put(b"k", b"2")
+    assert [bytes(r.value) for r in store.cached_snapshot().collect()] == [b"2"] and not first.is_cached
+
+
 def test_closed_and_locked(spark, tmp_path):
     path = str(tmp_path / "db")
     store = Store.open(spark, path)
