@@ -61,6 +61,13 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def only(self, *kept: DataFrame) -> None:
+        """Deletes all tables of this call but those given: what was made from the others is written by then."""
+        have = {getattr(df, "_scratch_path", None) for df in kept}
+        for i in range(1, self.n + 1):
+            if f"{self.root}/{i}" not in have:
+                delete_path(self.spark, f"{self.root}/{i}")
+
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_scratch_path", None)
         if path:

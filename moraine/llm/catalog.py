@@ -115,9 +115,36 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_words", F.size(base).cast("bigint").alias("n_base"), F.array_min(starts).cast("bigint").alias("first_word"), F.array_max(starts).cast("bigint").alias("last_word"), joined(base).alias("base_labels"), joined(F.col("spans")).alias("labels"), score.alias("score"))
 
 
+def _templates_sql() -> str:
+    """The templates as rows of (id, label, base, k, words)."""
+    return ", ".join(f"({i}, '{label}', {base}, {k}, string_split('{' '.join(w)}', ' '))" for i, label, base, k, w in licenses.template_rows())
+
+
+OP9_SQL = (
+    r"""
+WITH t(id, label, base, k, tw) AS (VALUES """
+    + _templates_sql()
+    + r"""),
+tg AS (SELECT id, k, i - 1 AS t, array_to_string(tw[i:i+k-1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(tw) - k + 2)) AS i FROM t)),
+d AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+dg AS (SELECT rid, k, i - 1 AS p, array_to_string(w[i:i+k-1], ' ') AS gram FROM (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (VALUES (2), (4)) x(k) WHERE len(w) >= k)),
+h AS (SELECT rid, id, p, t, p - t AS diag, base, label, tg.k, len(tw) AS size FROM dg JOIN tg USING (k, gram) JOIN t USING (id)),
+ph AS (SELECT rid, label, diag AS first FROM h WHERE base GROUP BY rid, id, label, size, k, diag HAVING count(*) = size - k + 1),
+br AS (SELECT *, CASE WHEN abs(diag - lag(diag) OVER o) > 3 OR p - lag(p) OVER o > 12 + k THEN 1 ELSE 0 END AS broken FROM h WHERE NOT base WINDOW o AS (PARTITION BY rid, id ORDER BY p, t)),
+sp AS (SELECT *, sum(broken) OVER (PARTITION BY rid, id ORDER BY p, t ROWS UNBOUNDED PRECEDING) AS span FROM br),
+nt AS (SELECT rid, label, count(DISTINCT c) / size AS share FROM (SELECT rid, id, label, size, span, unnest(range(t, t + k)) AS c FROM sp) GROUP BY rid, id, label, size, span HAVING count(DISTINCT c) / size >= 0.6),
+al AS (SELECT rid, label, 1.0::DOUBLE AS share FROM ph UNION ALL SELECT rid, label, share FROM nt),
+b AS (SELECT rid, count(*) AS n_base, min(first) AS first_word, max(first) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM ph GROUP BY rid),
+a AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM al GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN b USING (rid) LEFT JOIN a USING (rid)
+"""
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_simhash_near_dedup, op4_decontaminate, op5_ogg_media, op6_warc_revisits, op7_mixing, op8_url_filter, op9_license_scan, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": OP4_SQL, "op8_url_filter": OP8_SQL}
+    return {"op4_decontaminate": OP4_SQL, "op8_url_filter": OP8_SQL, "op9_license_scan": OP9_SQL}

@@ -81,6 +81,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     scratch = Scratch(docs.sparkSession, "decontaminate")
     matches, windows = find_matches(docs, items, text_col, item_id_col, item_text_col, width, scratch=scratch)
     exact = scratch.keep(matches.where("kind = 'exact'").select("key", "window", "start", "size"))
+    scratch.only(windows, exact)
     hit = exact.select("key", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("p")).distinct().groupBy("key").agg(F.count("*").alias("n_hit"))
     which = exact.select("key", "window").distinct().join(windows.select("window", "item"), "window").select("key", "item").distinct()
     which = which.groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("items"))
@@ -94,4 +95,5 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text
     scratch = Scratch(docs.sparkSession, "decontaminate")
     matches, _ = find_matches(docs, items, text_col, item_id_col, item_text_col, width, scratch=scratch)
     bad = scratch.keep(matches.where("kind = 'exact'").select(F.col("key").alias("_bad_key")).distinct())
+    scratch.only(bad)
     return docs.join(bad, text_key(docs[text_col]) == F.col("_bad_key"), "left_anti")

@@ -155,6 +155,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = scratch.keep(with_fingerprints(docs, id_col, text_col, words))
     fps = rows.select("fp").distinct()
     roots = scratch.keep(connected_components(close_links(fps, scratch, max_distance, hot), scratch))
+    scratch.only(rows, roots)
     # fingerprints without links are their own class
     lone = rows.groupBy("fp").agg(F.min("id").alias("least"))
     classes = lone.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("class_fp"))

@@ -92,6 +92,20 @@ def test_queries_are_native_and_match_sql(spark, sf_dir):
     df = catalog.op4_decontaminate(spark, sf_dir)
     assert is_native(df) and is_native(catalog.op9_license_scan(spark, sf_dir))
     same_rows(df, con, catalog.OP4_SQL)
+    same_rows(catalog.op9_license_scan(spark, sf_dir), con, catalog.OP9_SQL)
+
+
+def test_notices_match_sql(spark, tmp_path):
+    """Notices whole, cut, changed and repeated, beside phrases: the SQL gives the same spans."""
+    import duckdb
+
+    text = licenses.NOTICES[0][0]
+    w = text.split()
+    texts = [text, " ".join(w[4:]), " ".join(w[:9] + ["new"] + w[9:20]), f"{text} MIT License {text}", " ".join(w[:5] + w[12:]), licenses.NOTICES[2][0] * 2, None, ""]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    same_rows(catalog.op9_license_scan(spark, str(tmp_path)), con, catalog.OP9_SQL)
 
 
 def test_empty_tables(spark, odd_docs, no_docs):
