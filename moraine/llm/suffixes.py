@@ -34,6 +34,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from moraine.llm._common import Scratch
 
@@ -41,7 +42,7 @@ LENGTH = 400
 K = 160  # bytes of an anchor gram; capped at a quarter below the length
 CHUNK = 1 << 18  # bytes hashed at a time
 HOT, CLASSES = 256, 8
-BATCH = 1 << 21  # bytes of runs sorted at a time, a bucket more at most
+BATCH = 1 << 19  # bytes of runs fetched or sorted at a time, a bucket more at most
 _RNG = np.random.default_rng(20240229)
 _TABLES = _RNG.integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASES = (np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xC2B2AE3D27D4EB4F | 1))
@@ -264,8 +265,8 @@ def _intervals(off: np.ndarray, length: int) -> list[tuple[int, int]]:
 
 
 def _slices(asked: DataFrame, length: int) -> DataFrame:
-    """From (z, wants: array of (gram, run, tid, place, hot)): the bytes of runs of cold buckets, and for hot ones a row for each class
-    of offsets with the hash of its core and of its windows."""
+    """From (tid, z, wants: array of (gram, run, tid, place, hot)): the bytes of runs of cold buckets, and for hot ones a row for each class
+    of offsets with the hash of its core and of its windows.  Rows come sorted by tid; of equal texts the first one is used."""
     schema = "hot boolean, gram bigint, run bigint, tid bigint, place bigint, data binary, class int, core bigint, off bigint, windows array<bigint>"
     kinds = [pa.bool_(), *[pa.int64()] * 4, pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
     names = [x.split()[0] for x in schema.split(", ")]
@@ -273,29 +274,41 @@ def _slices(asked: DataFrame, length: int) -> DataFrame:
     def kernel(batches):
         hasher, unzip = Hasher(), zstandard.ZstdDecompressor()
         width = -(-(length - gram_size(length) + 1) // CLASSES)
+
+        def pack(rows):
+            cols = list(zip(*rows)) or [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=names)
+
+        last = None
         for batch in batches:
-            rows = []
-            for z, wants in zip(batch.column(0), batch.column(1)):
-                raw = unzip.decompress(z.as_py())
-                for w in wants.as_py():
+            rows, size = [], 0
+            for tid, z, wants in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                if tid == last:
+                    continue
+                last, raw = tid, unzip.decompress(z.as_py())
+                for w in wants:
+                    w = w.as_py()
                     start, n, at = _unpack(w["place"])
                     data = raw[start : start + n]
                     ids = (w["gram"], w["run"], w["tid"], w["place"])
+                    size += n
                     if not w["hot"]:
                         rows.append((False, *ids, data, None, None, None, None))
-                        continue
-                    buf = np.frombuffer(data, np.uint8)
-                    h = hasher.prefix(buf, 1)
-                    off = np.arange(n - length + 1)
-                    wh, cls = _mix(hasher.of(h, 1, off, off + length)), (at - off) // width
-                    for c in np.unique(cls).tolist():
-                        mine = np.flatnonzero(cls == c)
-                        # bytes that all windows of this class hold, in terms of the anchor alone
-                        b, e = at - c * width, at - c * width - width + 1 + length
-                        core = _mix(hasher.of(h, 1, np.array([b]), np.array([e])))
-                        rows.append((True, *ids, None, c, int(core.view(np.int64)[0]), int(off[mine[0]]), wh[mine].view(np.int64).tolist()))
-            cols = list(zip(*rows)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=names)
+                    else:
+                        buf = np.frombuffer(data, np.uint8)
+                        h = hasher.prefix(buf, 1)
+                        off = np.arange(n - length + 1)
+                        wh, cls = _mix(hasher.of(h, 1, off, off + length)), (at - off) // width
+                        for c in np.unique(cls).tolist():
+                            mine = np.flatnonzero(cls == c)
+                            # bytes that all windows of this class hold, in terms of the anchor alone
+                            b, e = at - c * width, at - c * width - width + 1 + length
+                            core = _mix(hasher.of(h, 1, np.array([b]), np.array([e])))
+                            rows.append((True, *ids, None, c, int(core.view(np.int64)[0]), int(off[mine[0]]), wh[mine].view(np.int64)))
+                    if size >= BATCH:
+                        yield pack(rows)
+                        rows, size = [], 0
+            yield pack(rows)
 
     return asked.mapInArrow(kernel, schema)
 
@@ -364,7 +377,7 @@ def _zipped(docs: DataFrame, tid_and_text, *keep: str) -> DataFrame:
             z = pa.array([zip_.compress(t.as_py().encode("utf-8", "surrogatepass")) for t in batch.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), z, *batch.columns[2:]], names=["tid", "z", *batch.schema.names[2:]])
 
-    schema = ", ".join(["tid bigint", "z binary", *(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)])
+    schema = StructType([StructField("tid", LongType()), StructField("z", BinaryType()), *(source.schema[c] for c in keep)])
     return source.mapInArrow(kernel, schema)
 
 
@@ -389,6 +402,7 @@ def find_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH,
     named = docs.where(text.isNotNull()).select(text_id(text, seed).alias("tid"), text.alias("text"))
     anchors = scratch.keep(_anchors(named, length))
     grams = anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    grams = scratch.keep(grams)  # so that both sides of the join are plain exchanges and a hot gram's rows can be split
     several = scratch.keep(anchors.join(grams, "gram", "left_semi"))
     scratch.drop(anchors)
     runs = scratch.keep(several.groupBy("gram", "run").agg(F.count("*").alias("n"), F.min(F.struct("tid", "place")).alias("first")))
@@ -398,8 +412,7 @@ def find_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH,
     asked = runs.join(buckets, "gram").select("first.tid", F.struct("gram", "run", "first.tid", "first.place", (F.col("kinds") > HOT).alias("hot")).alias("want"))
     asked = asked.groupBy("tid").agg(F.collect_list("want").alias("wants"))
     one = _zipped(docs.where(text.isNotNull() & (F.octet_length(text) >= length)), (text_id(text, seed).alias("tid"), text.alias("text")))
-    # any one row of a text will do: the first that arrives for its id
-    fetched = scratch.keep(_slices(_first_of(one.join(asked, "tid")), length))
+    fetched = scratch.keep(_slices(one.join(asked, "tid").select("tid", "z", "wants").sortWithinPartitions("tid"), length))
     cold = _sorted_repeats(fetched.where("NOT hot"), length)
     windows = fetched.where("hot")
     cores = windows.groupBy("gram", "class", "core").agg(F.count("*").alias("n")).where("n > 1").select("gram", "class", "core")
@@ -408,23 +421,9 @@ def find_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH,
     twice = windows.groupBy("gram", "reach", "window").agg(F.count("*").alias("n")).where("n > 1").select("gram", "reach", "window")
     hot = windows.join(twice, ["gram", "reach", "window"], "left_semi").select("tid", (F.col("start") + F.col("off")).alias("s"), (F.col("start") + F.col("off") + length).alias("e"))
     every = whole.unionByName(cold).unionByName(hot).distinct()
-    return scratch.keep(every.groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))), seed
-
-
-def _first_of(rows: DataFrame) -> DataFrame:
-    """(z, wants): one row of each tid, from rows that the join left together."""
-    part = rows.sortWithinPartitions("tid").select("tid", "z", "wants")
-
-    def kernel(batches):
-        last = None
-        for batch in batches:
-            tids, keep = batch.column(0).to_pylist(), []
-            for t in tids:
-                keep.append(t != last)
-                last = t
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["z", "wants"])
-
-    return part.mapInArrow(kernel, part.select("z", "wants").schema)
+    spans = scratch.keep(every.groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans")))
+    scratch.only(spans)
+    return spans, seed
 
 
 def merge_spans(spans) -> list[tuple[int, int]]:
@@ -491,18 +490,22 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     others = [c for c in docs.columns if c != text_col]
     source = docs.select(*others, F.col(text_col).isNull().alias("_moraine_null"), F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
     text = F.col(text_col)
-    rows = _zipped(source, (text_id(text, seed).alias("tid"), text.alias("text")), "_moraine_null", *others)
-    joined = rows.join(spans, "tid", "left").drop("tid")
+    # the caller's columns travel as one, so that none can clash with the names used here
+    packed = source.select(F.struct("_moraine_null", *others).alias("row"), text.alias("text"))
+    rows = _zipped(packed, (text_id(F.col("text"), seed).alias("tid"), F.col("text")), "row")
+    joined = rows.join(spans, "tid", "left").select("row", "z", "spans")
 
     def kernel(batches):
         unzip = zstandard.ZstdDecompressor()
         for batch in batches:
             texts = []
-            for z, null, got in zip(batch.column("z"), batch.column("_moraine_null"), batch.column("spans")):
+            row = batch.column("row")
+            field = {c: row.field(i) for i, c in enumerate(["_moraine_null", *others])}
+            for z, null, got in zip(batch.column("z"), field["_moraine_null"], batch.column("spans")):
                 raw = unzip.decompress(z.as_py())
                 removed = whole_characters(raw, merge_spans((x["s"], x["e"]) for x in got.as_py() or ()))
                 texts.append(None if null.as_py() else cut(raw, removed).decode("utf-8", "surrogatepass"))
-            cols = {c: batch.column(c) for c in others} | {text_col: pa.array(texts, pa.string())}
+            cols = {c: field[c] for c in others} | {text_col: pa.array(texts, pa.string())}
             if size_col:
                 cols[size_col] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([cols[c] for c in names], names=names)
