@@ -28,7 +28,7 @@ from moraine.llm.sampling import choose, text_hash, texts_of
 
 BUCKETS = 20  # bits
 SIZES = (3, 4, 5)
-PER_CLASS, CHARS = 2000, 16_000_000
+PER_CLASS, CHARS = 1500, 6_000_000
 FEATURES = 4096
 _STEP, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -63,10 +63,9 @@ def fit(features: list[np.ndarray], labels: np.ndarray, rounds: int = 150, penal
     n1, n0 = y.sum(), len(y) - y.sum()
     if not n1 or not n0:
         return Model(weights, 30.0 if n1 else -30.0)
-    rows = np.repeat(np.arange(len(features)), [len(f) for f in features])
-    cols = np.concatenate(features)
-    pos = np.bincount(cols, weights=y[rows], minlength=1 << BUCKETS)
-    neg = np.bincount(cols, minlength=1 << BUCKETS) - pos
+    pos, neg = np.zeros(1 << BUCKETS), np.zeros(1 << BUCKETS)
+    for f, label in zip(features, y):
+        (pos if label else neg)[f] += 1  # a text's buckets are distinct
     ratio = np.log((pos + 1) / (n1 + 2)) - np.log((neg + 1) / (n0 + 2))
     # how far the two shares are apart, in standard errors
     share = (pos + neg) / len(y)
@@ -76,8 +75,8 @@ def fit(features: list[np.ndarray], labels: np.ndarray, rounds: int = 150, penal
     chosen = chosen[z[chosen] > 3]
     place = np.full(1 << BUCKETS, -1)
     place[chosen] = np.arange(len(chosen))
-    keep = place[cols] >= 0
-    rows, cols = rows[keep], place[cols[keep]]
+    kept = [place[f[place[f] >= 0]] for f in features]
+    rows, cols = np.repeat(np.arange(len(kept)), [len(f) for f in kept]), np.concatenate(kept)
     vals, each = ratio[chosen][cols], np.where(y > 0, 0.5 / n1, 0.5 / n0)
     w, b, lam = np.zeros(len(chosen)), 0.0, penalty / len(y)
     # a bound of the curvature: by power iteration
