@@ -182,7 +182,7 @@ def fit(samples: list[tuple[str, str]], rounds: int = 40, length: int = 48, seed
     count = np.bincount(y[mask], minlength=k).astype(float)
     weight = np.where(count > 0, count.sum() / (k * np.maximum(count, 1)), 0.0)
     for _ in range(rounds):
-        emit = w[feats].sum(axis=1)
+        emit = np.concatenate([w[feats[i : i + 4096]].sum(axis=1) for i in range(0, len(feats), 4096)])
         g_emit, g_trans, g_start = _pairwise(emit[seq], mask, trans, start, y)
         g_emit *= weight[y][:, :, None]
         word = np.stack([np.bincount(seq.ravel(), weights=g_emit[:, :, j].ravel(), minlength=len(index)) for j in range(k)], axis=1)
