@@ -13,8 +13,8 @@ from moraine.llm import decontaminate, mixing, simhash, suffixes, toxicity
 from moraine.llm._common import Scratch
 from moraine.llm.catalog import held_out, table
 
-#: near-duplicates: word shingles and the bits in which two 64-bit fingerprints may differ
-SHINGLE, DISTANCE = 5, 6
+#: near-duplicates: words of a shingle, the bits in which two 64-bit fingerprints may differ, and the hash seeds of the fingerprints
+SHINGLE, DISTANCE, SEEDS = 5, 6, (42, 43)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     text = F.coalesce("text", F.lit(""))
     # two hashes name a row's document: its id and text
     rows = docs.withColumn("_one", F.xxhash64("doc_id", text)).withColumn("_two", F.xxhash64(text, F.lit("two"), "doc_id"))
-    groups = simhash.simhash_components(rows.withColumn("_row", F.struct("doc_id", "_one", "_two")), "_row", "text", SHINGLE, DISTANCE)
+    groups = simhash.simhash_components(rows.withColumn("_row", F.struct("doc_id", "_one", "_two")), "_row", "text", SHINGLE, DISTANCE, seeds=SEEDS)
     first = groups.groupBy("class_fp").agg(F.min("id").alias("id")).select("id._one", "id._two")
     # rows repeated whole are one document as well
     return rows.join(first, ["_one", "_two"], "left_semi").dropDuplicates(["_one", "_two"]).drop("_one", "_two")

@@ -33,11 +33,13 @@ from pyspark.sql import functions as F
 from moraine.llm._common import ASCII_LOWER, Scratch, connected_components
 
 SEED = 42
+HOT = 8  # fingerprints of a block that is still joined with itself: 28 pairs at most
+SPREAD = 8192  # fingerprints whose keys one task makes
 CHUNK = 1 << 18  # members of a hot block that are searched together, twice as many at most
 PIECE = 1 << 16  # shingles whose bits are counted at a time: bounds memory for texts of any length
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
+def fingerprint(text: str | None, words: int = 3, seed: int = SEED) -> int:
     """The unsigned 64-bit SimHash of one text."""
     tokens = (text or "").encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split()
     if not tokens:
@@ -49,22 +51,23 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     begin, end = starts[:n].tolist(), (ends[min(words, len(tokens)) - 1 :][:n] - 1).tolist()
     digest, counts = xxhash.xxh64_digest, np.zeros(64, np.int64)
     for at in range(0, n, PIECE):
-        h = b"".join([digest(line[s:e], SEED) for s, e in zip(begin[at : at + PIECE], end[at : at + PIECE])])
+        h = b"".join([digest(line[s:e], seed) for s, e in zip(begin[at : at + PIECE], end[at : at + PIECE])])
         counts += np.unpackbits(np.frombuffer(h, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
-def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(id, fp): one row per input row; fp is the fingerprint as a signed 64-bit number."""
+def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
+    """(id, fp, fp1, ...): one row per input row; a fingerprint for each seed, as signed 64-bit numbers."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    names = ["fp", *(f"fp{i}" for i in range(1, len(seeds)))]
 
     def kernel(batches):
         for batch in batches:
-            values = [fingerprint(t.as_py(), words) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(values, np.uint64).view(np.int64))], names=["id", "fp"])
+            texts = [t.as_py() for t in batch.column(1)]
+            values = [pa.array(np.array([fingerprint(t, words, seed) for t in texts], np.uint64).view(np.int64)) for seed in seeds]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *values], names=["id", *names])
 
-    id_type = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(kernel, f"id {id_type}, fp bigint")
+    return source.mapInArrow(kernel, f"id {source.schema['id'].dataType.simpleString()}, " + ", ".join(f"{n} bigint" for n in names))
 
 
 def block_masks(d: int) -> np.ndarray:
@@ -79,6 +82,8 @@ def block_keys(fps: DataFrame, d: int) -> DataFrame:
     """(choice, bits, fp): a row for each key of each fingerprint; any two within d bits share one at least."""
     masks = block_masks(d)
     n = len(masks)
+    # a few thousand fingerprints a task, as each becomes many rows
+    spread = fps.select("fp").repartition(max(1, -(-fps.count() // SPREAD)), "fp")
 
     def kernel(batches):
         for batch in batches:
@@ -88,7 +93,7 @@ def block_keys(fps: DataFrame, d: int) -> DataFrame:
                 bits = (part[:, None] & masks[None, :]).ravel().view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(n, dtype=np.int32), len(part))), pa.array(bits), pa.array(np.repeat(part, n).view(np.int64))], names=["choice", "bits", "fp"])
 
-    return fps.select("fp").mapInArrow(kernel, "choice int, bits bigint, fp bigint")
+    return spread.mapInArrow(kernel, "choice int, bits bigint, fp bigint")
 
 
 def reach(fps: np.ndarray, d: int) -> list[tuple[int, int]]:
@@ -132,7 +137,7 @@ def _hot_links(rows: DataFrame, d: int) -> DataFrame:
     return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(kernel, "a bigint, b bigint")
 
 
-def close_links(fps: DataFrame, scratch: Scratch, max_distance: int = 2, hot: int = 64) -> DataFrame:
+def close_links(fps: DataFrame, scratch: Scratch, max_distance: int = 2, hot: int = HOT) -> DataFrame:
     """(a, b) links between distinct fingerprints of column ``fp``: every close pair of a block that isn't hot, and for
     hot blocks links that connect the same fingerprints."""
     if not 0 <= max_distance <= 8:
@@ -148,17 +153,31 @@ def close_links(fps: DataFrame, scratch: Scratch, max_distance: int = 2, hot: in
     return joined.unionByName(_hot_links(shared.where(F.col("n") > hot), max_distance)).distinct()
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_distance: int = 2, hot: int = 64) -> DataFrame:
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_distance: int = 2, hot: int = HOT, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
     """One row per input row: id, fp (signed 64-bit fingerprint), component (smallest id reachable over links), class_fp
-    (the component's smallest fingerprint, which names it even where ids are null)."""
+    (the component's smallest fingerprint, which names it even where ids are null).
+
+    With several ``seeds`` a text has a fingerprint for each, and two texts link if those of any seed are close: each seed gives a pair that
+    its noise keeps apart another chance.  fp is then the first seed's, and texts that share it are one class.
+    """
     scratch = Scratch(docs.sparkSession, "simhash")
-    rows = scratch.keep(with_fingerprints(docs, id_col, text_col, words))
-    fps = rows.select("fp").distinct()
-    roots = scratch.keep(connected_components(close_links(fps, scratch, max_distance, hot), scratch))
+    rows = scratch.keep(with_fingerprints(docs, id_col, text_col, words, seeds))
+    links = scratch.keep(close_links(rows.select("fp").distinct(), scratch, max_distance, hot))
+    for i in range(1, len(seeds)):
+        own = scratch.keep(rows.select(F.col(f"fp{i}").alias("other"), "fp").distinct())
+        # the smallest first fingerprint stands for all texts of one further fingerprint
+        least = scratch.keep(own.groupBy("other").agg(F.min("fp").alias("least")))
+        same = own.join(least, "other").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
+        near = close_links(least.select(F.col("other").alias("fp")), scratch, max_distance, hot)
+        end = lambda c: least.select(F.col("other").alias(c), F.col("least").alias(f"{c}_least"))
+        near = near.join(end("a"), "a").join(end("b"), "b").where("a_least <> b_least").select(F.col("a_least").alias("a"), F.col("b_least").alias("b"))
+        links = scratch.keep(links.unionByName(same).unionByName(near).distinct())
+        scratch.only(rows, links)
+    roots = scratch.keep(connected_components(links, scratch))
     scratch.only(rows, roots)
     # fingerprints without links are their own class
     lone = rows.groupBy("fp").agg(F.min("id").alias("least"))
     classes = lone.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("class_fp"))
     ids = classes.groupBy("class_fp").agg(F.min("least").alias("component"))
     named = classes.select("fp", "class_fp").join(ids, "class_fp")
-    return rows.join(named, "fp").select("id", "fp", "component", "class_fp")
+    return rows.select("id", "fp").join(named, "fp").select("id", "fp", "component", "class_fp")

@@ -80,6 +80,25 @@ def test_links_connect_what_is_close(spark, monkeypatch, d, hot, chunk):
     assert {x.node: x.root for x in roots} == want
 
 
+def test_several_seeds(spark, sf_dir):
+    """Two texts link if their fingerprints of any seed are close."""
+    docs = catalog.table(spark, sf_dir, "documents").select("doc_id", "text").collect()
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+    rows = [(d.doc_id, d.text) for d in docs[:60]] + [(1000 + i, " ".join(words[(j * j + i * (j == 70)) % 8] for j in range(140))) for i in range(8)]
+    ids, fps = [r[0] for r in rows], [np.array([simhash.fingerprint(r[1], 5, seed) for r in rows], np.uint64) for seed in (42, 43)]
+    label = {i: i for i in ids}
+    for f in fps:  # merge to a fixed point
+        for _ in range(4):
+            for i in range(len(ids)):
+                for j in np.flatnonzero(np.bitwise_count(f ^ f[i]) <= 6):
+                    a, b = label[ids[i]], label[ids[int(j)]]
+                    if a != b:
+                        label = {k: min(a, b) if v in (a, b) else v for k, v in label.items()}
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = simhash.simhash_components(df, words=5, max_distance=6, seeds=(42, 43)).collect()
+    assert {r.id: r.component for r in got} == label
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = simhash.simhash_components(odd_docs).collect()
     assert len(rows) == 11
