@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.llm import decontaminate, mixing, simhash, suffixes, toxicity
+from moraine.llm import decontaminate, mixing, passages, simhash, suffixes, toxicity
 from moraine.llm._common import Scratch
 from moraine.llm.catalog import held_out, table
 
@@ -38,8 +38,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without passages of 400 bytes that also stand elsewhere; n_chars follows the text."""
-    return suffixes.remove_repeats(docs, size_col="n_chars")
+    """All documents, without passages of 400 bytes or of over 50 words that also stand elsewhere; n_chars follows the text."""
+    return suffixes.remove_repeats(docs, size_col="n_chars", words=passages.WORDS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,119 @@
+"""Repeated passages in words: every word of a run of ``words`` words that also stands elsewhere.
+
+A word is a run of bytes without ASCII white space; words are compared by their bytes, what white space parts them doesn't count.
+
+1. Anchors.  Every window of ``words`` words names the ``GRAM``-word gram of smallest hash in it, so equal windows name equal grams.
+   Neighbouring windows that name the same one are a row (gram, text, first window, number of windows).
+2. Rows whose gram stands once are done.  The windows of the others are hashed, from one copy of each text, and those that stand twice
+   are found by two independent 64-bit hashes.  Counts are combined before the shuffle, so no task holds a group.
+
+Defined results: as in ``suffixes``; counts are over all places of all texts, equal texts and places within one text included.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from moraine.llm._common import Scratch
+from moraine.llm.suffixes import Hasher, _mix, _sliding_min, _zipped, text_id
+
+WORDS = 51
+GRAM = 16
+AT_ONCE = 1 << 16  # words hashed and rows made at a time: bounds memory for texts of any length
+_SPACE = np.zeros(256, bool)
+_SPACE[list(b" \t\n\r\v\f")] = True
+
+
+def word_places(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of each word of a buffer of bytes."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[buf], [True])).astype(np.int8)))
+    return edge[::2], edge[1::2]
+
+
+def _spread(x: np.ndarray) -> np.ndarray:
+    return _mix(_mix(x) + np.uint64(0x9E3779B97F4A7C15))
+
+
+def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, which: int, hasher: Hasher) -> np.ndarray:
+    """The sums by which any run of words is hashed in constant time."""
+    one = np.empty(len(start), np.uint64)
+    for a in range(0, len(start), AT_ONCE):
+        s, e = start[a : a + AT_ONCE], end[a : a + AT_ONCE]
+        h = hasher.prefix(buf[s[0] : e[-1]], which)
+        one[a : a + AT_ONCE] = _spread(hasher.of(h, which, s - s[0], e - s[0]) + (e - s).astype(np.uint64))
+    hasher._grow(len(one))
+    out = np.zeros(len(one) + 1, np.uint64)
+    np.cumsum(one * hasher.pow[which][: len(one)], out=out[1:])
+    return out
+
+
+def window_runs(buf: np.ndarray, words: int, hasher: Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gram, first, n) of each run of windows that name one anchor; first counts words."""
+    start, end = word_places(buf)
+    if len(start) < words:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    k = min(GRAM, words)
+    g = _spread(hasher.grams(word_hashes(buf, start, end, 0, hasher), k))
+    # of equal smallest grams any may be named: they are the same gram
+    least = _sliding_min(g, words - k + 1)
+    cut = np.concatenate(([0], np.flatnonzero(np.diff(least)) + 1))
+    return least[cut], cut, np.diff(np.concatenate((cut, [len(least)])))
+
+
+def _anchors(texts: DataFrame, words: int) -> DataFrame:
+    """(gram, tid, first, n) rows of (tid, text)."""
+
+    def kernel(batches):
+        hasher = Hasher()
+        for batch in batches:
+            for tid, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                gram, first, n = window_runs(np.frombuffer(t.as_py().encode("utf-8", "surrogatepass"), np.uint8), words, hasher)
+                for a in range(0, len(gram), AT_ONCE):
+                    part = slice(a, a + AT_ONCE)
+                    yield pa.RecordBatch.from_arrays([pa.array(gram[part].view(np.int64)), pa.array(np.full(len(gram[part]), tid, np.int64)), pa.array(first[part]), pa.array(n[part])], names=["gram", "tid", "first", "n"])
+
+    return texts.mapInArrow(kernel, "gram bigint, tid bigint, first bigint, n bigint")
+
+
+def _windows(asked: DataFrame, words: int) -> DataFrame:
+    """From (tid, z, wants: array of (first, n, times)): (one, two, tid, s, e, times) of each window.  Rows come sorted by tid; of equal texts
+    the first one is used."""
+
+    def kernel(batches):
+        hasher, unzip, last = Hasher(), zstandard.ZstdDecompressor(), None
+        for batch in batches:
+            for tid, z, wants in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                if tid == last:
+                    continue
+                last, buf = tid, np.frombuffer(unzip.decompress(z.as_py()), np.uint8)
+                start, end = word_places(buf)
+                first, n, times = (np.array(x, np.int64) for x in zip(*((w["first"], w["n"], w["times"]) for w in wants.as_py())))
+                at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+                times = np.repeat(times, n)
+                h = [_spread(hasher.of(word_hashes(buf, start, end, i, hasher), i, at, at + words)).view(np.int64) for i in (0, 1)]
+                for a in range(0, len(at), AT_ONCE):
+                    p = slice(a, a + AT_ONCE)
+                    arrays = [h[0][p], h[1][p], np.full(len(at[p]), tid, np.int64), start[at[p]], end[at[p] + words - 1], times[p]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["one", "two", "tid", "s", "e", "times"])
+
+    return asked.mapInArrow(kernel, "one bigint, two bigint, tid bigint, s bigint, e bigint, times bigint")
+
+
+def repeated_passages(docs: DataFrame, seed: int, text_col: str = "text", words: int = WORDS, scratch: Scratch | None = None) -> DataFrame:
+    """(tid, s, e): the bytes of each repeated window; texts are named as ``suffixes`` names them with ``seed``."""
+    scratch = scratch or Scratch(docs.sparkSession, "passages")
+    text = F.col(text_col)
+    named = docs.where(text.isNotNull()).select(text_id(text, seed).alias("tid"), text.alias("text"))
+    anchors = scratch.keep(_anchors(named, words))
+    grams = scratch.keep(anchors.groupBy("gram").agg(F.count("*").alias("rows")).where("rows > 1").select("gram"))
+    asked = anchors.join(grams, "gram", "left_semi").groupBy("tid", "first", "n").agg(F.count("*").alias("times"))
+    asked = scratch.keep(asked.groupBy("tid").agg(F.collect_list(F.struct("first", "n", "times")).alias("wants")))
+    scratch.drop(anchors)
+    texts = _zipped(docs.where(text.isNotNull() & (F.octet_length(text) >= 2 * words - 1)), (text_id(text, seed).alias("tid"), text.alias("text")))
+    windows = scratch.keep(_windows(texts.join(asked, "tid").select("tid", "z", "wants").sortWithinPartitions("tid"), words))
+    twice = scratch.keep(windows.groupBy("one", "two").agg(F.sum("times").alias("n")).where("n > 1").select("one", "two"))
+    return windows.join(twice, ["one", "two"], "left_semi").select("tid", "s", "e").distinct()

@@ -482,11 +482,18 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return joined.mapInArrow(kernel, f"id {id_type}, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, size_col: str | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, size_col: str | None = None, words: int | None = None) -> DataFrame:
     """``docs`` with repeated strings cut from the texts, whole characters only; other columns unchanged but ``size_col``, if named,
-    which gets the new number of characters.  Null texts stay null."""
+    which gets the new number of characters.  With ``words``, runs of that many words that also stand elsewhere are cut as well, whatever
+    their bytes.  Null texts stay null."""
     scratch = Scratch(docs.sparkSession, "suffixes")
     spans, seed = find_repeats(docs, text_col, length, scratch)
+    if words:
+        from moraine.llm.passages import repeated_passages
+
+        every = spans.select("tid", F.inline("spans")).unionByName(repeated_passages(docs, seed, text_col, words, scratch))
+        spans = scratch.keep(every.groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans")))
+        scratch.only(spans)
     others = [c for c in docs.columns if c != text_col]
     source = docs.select(*others, F.col(text_col).isNull().alias("_moraine_null"), F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
     text = F.col(text_col)
