@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.llm import decontaminate, mixing, passages, simhash, suffixes, toxicity
+from moraine.llm import decontaminate, mixing, nearcopies, passages, suffixes, toxicity
 from moraine.llm._common import Scratch
 from moraine.llm.catalog import held_out, table
 
-#: near-duplicates: words of a shingle, the bits in which two 64-bit fingerprints may differ, and the hash seeds of the fingerprints
-SHINGLE, DISTANCE, SEEDS = 5, 6, (42, 43)
+#: near-duplicates: words of a shingle; texts of a Jaccard similarity of 0.8 or more are near copies
+SHINGLE = 5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,13 +26,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one of smallest doc_id (null first), of equal ids the one of smallest hash.
 
-    Documents without words all have fingerprint zero; they are one group.
+    Documents without words all have no shingles; they are one group.
     """
     text = F.coalesce("text", F.lit(""))
     # two hashes name a row's document: its id and text
     rows = docs.withColumn("_one", F.xxhash64("doc_id", text)).withColumn("_two", F.xxhash64(text, F.lit("two"), "doc_id"))
-    groups = simhash.simhash_components(rows.withColumn("_row", F.struct("doc_id", "_one", "_two")), "_row", "text", SHINGLE, DISTANCE, seeds=SEEDS)
-    first = groups.groupBy("class_fp").agg(F.min("id").alias("id")).select("id._one", "id._two")
+    groups = nearcopies.near_copy_classes(rows, "doc_id", "text", SHINGLE)
+    first = groups.groupBy("root").agg(F.min(F.struct("id", "_one", "_two")).alias("id")).select("id._one", "id._two")
     # rows repeated whole are one document as well
     return rows.join(first, ["_one", "_two"], "left_semi").dropDuplicates(["_one", "_two"]).drop("_one", "_two")
 
