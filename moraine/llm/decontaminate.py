@@ -5,7 +5,8 @@ texts is counted over all of them; the rarest term of a window is where its sear
 those terms, (term, text, position), each with the block of postings around it: the terms at the positions within a window's reach.  No
 other posting can matter.  A window's candidate starts are the postings of its rarest term less that term's offset.  At a
 candidate start the offset-adjusted lists of all its terms are intersected by comparing the block with them: all terms at their offsets are
-an exact phrase match; at least ``near`` of its different terms anywhere in the block, in any order, a proximity match.
+an exact phrase match; at least ``near`` of its different terms anywhere in the block, in any order, a proximity match.  For those a window
+of m different terms is searched from its m - ceil(near m) + 1 rarest: one of them at least stands in any text with ceil(near m) of them.
 
 A frequent term costs postings only if it is the rarest of some window.  Texts are not shuffled, postings neither: blocks meet the test
 side by broadcast if its rows number ``BROADCAST`` at most, which is counted first; beyond that the same joins shuffle, and adaptive
@@ -64,8 +65,15 @@ def find_matches(docs: DataFrame, items: DataFrame, text_col: str = "text", item
     n_spots = spots.count()
     counts = scratch.keep(term_counts(docs, spots.select("term").distinct(), n_spots, text_col))
     rarest = Window.partitionBy("window").orderBy("n", "term", "offset")
-    anchors = spots.join(counts, "term").withColumn("k", F.row_number().over(rarest)).where("k = 1 AND n > 0").select("term", "window", "terms", F.col("offset").alias("at"))
-    anchors = scratch.keep(anchors)
+    known = spots.join(counts, "term")
+    if near is None:
+        chosen = known.withColumn("k", F.row_number().over(rarest)).where("k = 1 AND n > 0")
+    else:
+        # of a repeated term all offsets have one rank; terms that no text holds take their rank as well, but have no postings
+        m = F.size(F.array_distinct("terms"))
+        by_term = Window.partitionBy("window").orderBy("n", "term")
+        chosen = known.withColumn("k", F.dense_rank().over(by_term)).where((F.col("k") <= m - F.ceil(m * F.lit(near)) + 1) & (F.col("n") > 0))
+    anchors = scratch.keep(chosen.select("term", "window", "terms", F.col("offset").alias("at")))
     index = scratch.keep(store_postings(docs, anchors.select("term").distinct(), n_spots, width - 1 + slop, text_col))
     tried = index.join(_small(anchors, n_spots), "term").withColumn("start", F.col("pos") - F.col("at")).withColumn("size", F.size("terms"))
     meets = F.slice("block", F.greatest(F.col("start") - F.col("base") + 1, F.lit(1)), F.col("size")) == F.col("terms")
@@ -76,18 +84,27 @@ def find_matches(docs: DataFrame, items: DataFrame, text_col: str = "text", item
     return matches, windows
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """One row per input row: id, n_words, n_hit (words inside an exact match), items (sorted ids, as strings, of items with one)."""
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, slop: int = 0, near: float | None = None) -> DataFrame:
+    """One row per input row: id, n_words, n_hit (words inside an exact match), items (sorted ids, as strings, of items with one); with ``near``
+    also near_items, those of items with proximity matches only."""
     scratch = Scratch(docs.sparkSession, "decontaminate")
-    matches, windows = find_matches(docs, items, text_col, item_id_col, item_text_col, width, scratch=scratch)
+    matches, windows = find_matches(docs, items, text_col, item_id_col, item_text_col, width, slop, near, scratch=scratch)
+    if near is not None:
+        matches = scratch.keep(matches)
     exact = scratch.keep(matches.where("kind = 'exact'").select("key", "window", "start", "size"))
-    scratch.only(windows, exact)
+    scratch.only(windows, exact, matches)
     hit = exact.select("key", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("p")).distinct().groupBy("key").agg(F.count("*").alias("n_hit"))
     which = exact.select("key", "window").distinct().join(windows.select("window", "item"), "window").select("key", "item").distinct()
     which = which.groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("items"))
     rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), count_words(F.col(text_col)).alias("n_words"))
     out = rows.join(hit.join(which, "key"), "key", "left")
-    return out.select("id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    listed = lambda c: F.coalesce(c, F.array().cast("array<string>")).alias(c)
+    columns = ["id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), listed("items")]
+    if near is None:
+        return out.select(*columns)
+    close = matches.where("kind = 'near'").select("key", "window").distinct().join(windows.select("window", "item"), "window").groupBy("key").agg(F.collect_set("item").alias("close"))
+    out = out.join(close, "key", "left").withColumn("near_items", F.array_sort(F.array_except("close", F.coalesce("items", F.array().cast("array<string>")))))
+    return out.select(*columns, listed("near_items"))
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH) -> DataFrame:
