@@ -1,6 +1,7 @@
 """Language identification by a linear-chain conditional random field over words.
 
-A word (a run of letters, lower-cased) has features: itself if the learned lexicon holds it, prefixes and suffixes of 1 to 3 letters, and
+A word is a run of letters, lower-cased, cut at changes of script and, beyond ``PIECE`` letters, into even pieces, so that scripts
+without spaces are read whole.  It has features: itself if the learned lexicon holds it, prefixes and suffixes of 1 to 3 letters, and
 letter 2- and 3-grams with its boundaries, hashed to 2^16 buckets.  Labels are languages; transitions between neighbouring
 words' labels are learned.  The training sequences are code-switched: runs of words from labelled texts of different languages,
 one after another, so that a switch inside a text can be told.  Forward-backward gives each word's label
@@ -20,9 +21,11 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +35,12 @@ from pyspark.sql import functions as F
 from moraine.llm.sampling import choose, text_hash, texts_of
 
 WORD = r"[^\W\d_]+"
+BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 PER_LANG, CHARS = 400, 2_400_000
 LEXICON = 3000  # most frequent words of each language in the training sample
 BUCKETS = 1 << 16
-SLOTS = 40  # features of a word at most
+PIECE = 24  # letters of a word at most
+SLOTS = 2 * PIECE + 6  # features of such a word
 BLOCK = 64  # words in a block of forward-backward
 CACHE = 200_000  # words whose emissions a worker keeps
 WORDS_AT_ONCE = 400_000
@@ -50,16 +55,44 @@ class Crf:
     start: np.ndarray
 
 
+@lru_cache(maxsize=1 << 16)
+def script(letter: str) -> str:
+    """The script of a letter by its Unicode name; empty for signs of no script."""
+    name = re.split("[ -]", unicodedata.name(letter, "").removeprefix("FULLWIDTH ").removeprefix("HALFWIDTH "))[0]
+    return "" if name in ("MODIFIER", "MICRO", "FEMININE", "MASCULINE") else name
+
+
+def pieces(run: str) -> list[str]:
+    """A run of letters, cut at changes of script and into pieces of PIECE letters at most."""
+    cuts, held = [0], ""
+    for i, letter in enumerate(run):
+        now = script(letter) or held
+        if held and now != held:
+            cuts.append(i)
+        held = now
+    out = []
+    for a, b in zip(cuts, [*cuts[1:], len(run)]):
+        n = max(1, -(-(b - a) // PIECE))
+        out += [run[a + (b - a) * i // n : a + (b - a) * (i + 1) // n] for i in range(n)]
+    return out
+
+
+def words_of(text: str) -> list[str]:
+    text = text.lower()
+    runs = re.findall(WORD, text)
+    if not runs or max(map(len, runs)) <= PIECE and not BEYOND_LATIN.search(text):
+        return runs
+    return [p for run in runs for p in ([run] if len(run) <= PIECE and run.isascii() else pieces(run))]
+
+
 def word_features(word: str, lexicon) -> list[int]:
-    """Buckets of a lower-cased word.  A very long word gives the same features of its ends and SLOTS in all."""
-    if len(word) > 24:  # junk runs of letters: both ends tell what there is
-        word = word[:12] + word[-12:]
+    """Buckets of a lower-cased word of PIECE letters at most: SLOTS or fewer."""
     s = f"^{word}$"
     names = [f"p{word[:k]}" for k in (1, 2, 3) if k <= len(word)] + [f"s{word[-k:]}" for k in (1, 2, 3) if k <= len(word)]
     names += [f"g{s[i : i + 3]}" for i in range(len(s) - 2)] + [f"b{s[i : i + 2]}" for i in range(1, len(s) - 2)]
     if word in lexicon:
         names.insert(0, f"w{word}")
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in names[:SLOTS]]
+    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in names]
 
 
 def feature_matrix(words: list[str], lexicon) -> np.ndarray:
@@ -153,7 +186,7 @@ def fit(samples: list[tuple[str, str]], rounds: int = 40, length: int = 48, seed
     k, rng = len(labels), np.random.default_rng(seed)
     by = {lang: [] for lang in labels}
     for lang, text in sorted(samples):
-        by[lang] += re.findall(WORD, text.lower())
+        by[lang] += words_of(text)
     lexicon = frozenset(w for lang in labels for w, _ in Counter(by[lang]).most_common(LEXICON))
     index: dict[str, int] = {}
     ids = [np.array([index.setdefault(w, len(index)) for w in by[lang]], np.int64) for lang in labels]
@@ -229,7 +262,7 @@ class Tagger:
             return [("und", 0.0, 0, np.empty(0, np.int64)) for _ in texts]
         words, ends = [], []
         for t in texts:
-            words += re.findall(WORD, t.lower()) if t else ()
+            words += words_of(t) if t else ()
             ends.append(len(words))
         if not words:
             return [("und", 0.0, 0, np.empty(0, np.int64)) for _ in texts]
