@@ -15,14 +15,28 @@ def text_hash(text):
 
 
 def choose(rows: DataFrame, per_class: int, chars: int) -> list[tuple]:
-    """From rows (h, label, size): at most ``per_class`` hashes of each class, and of each class a share of ``chars`` characters."""
+    """From rows (h, label, size): at most ``per_class`` hashes of each class, and of each class a share of ``chars`` characters.  Texts that don't
+    fit into what is left of the share are passed over; a class none of whose texts fits gives its shortest one."""
     each = rows.where("label IS NOT NULL AND h IS NOT NULL").groupBy("label", "h").agg(F.max("size").alias("size"))
-    first = each.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("k") <= per_class)
-    got = first.select("label", "h", "size").orderBy("label", "h").collect()  # at most per_class rows of each class
-    share, used, out = chars // max(1, len({r["label"] for r in got})), {}, []
+
+    def smallest(of: DataFrame) -> list:
+        first = of.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("k") <= per_class)
+        return first.select("label", "h", "size").orderBy("label", "h").collect()  # at most per_class rows of each class
+
+    got = smallest(each)
+    share = chars // max(1, len({r["label"] for r in got}))
+    # texts beyond the share don't stand in the way of later ones
+    over = sorted({r["label"] for r in got if (r["size"] or 0) > share})
+    if over:
+        fits = smallest(each.where(F.col("label").isin(over) & (F.coalesce("size", F.lit(0)) <= share)))
+        none = set(over) - {r["label"] for r in fits}
+        short = each.where(F.col("label").isin(sorted(none))).groupBy("label").agg(F.min(F.struct("size", "h")).alias("s")).select("label", "s.h", F.lit(0).alias("size")).collect() if none else []
+        got = sorted([*(r for r in got if r["label"] not in over), *fits, *short], key=lambda r: (r["label"], r["h"]))
+    used, out = {}, []
     for r in got:
-        used[r["label"]] = used.get(r["label"], 0) + (r["size"] or 0)
-        if used[r["label"]] <= share:
+        size = r["size"] or 0
+        if used.get(r["label"], 0) + size <= share:
+            used[r["label"]] = used.get(r["label"], 0) + size
             out.append((r["h"], r["label"]))
     return out
 
