@@ -10,7 +10,8 @@ documented bound.  Scoring reads whole texts and shuffles nothing.
 
 Defined results: null and empty texts have no features and get the model's base score; labels that are null or not 0/1
 and texts that are null are not learned from; a text labelled both ways counts once for each; with no labels, or labels of one
-kind only, the model has no features and scores by the share of that kind (0 without labels); repeated rows stay;
+kind only, the model has no features and scores by the share of that kind (0 without labels); if both kinds are there but no bucket tells
+them apart, it scores n1 / (n1 + n0 + 1), so that an even share of toxic texts doesn't reject everything; repeated rows stay;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -73,6 +74,8 @@ def fit(features: list[np.ndarray], labels: np.ndarray, rounds: int = 150, penal
     z[pos + neg < 3] = 0
     chosen = np.sort(np.argsort(-z, kind="stable")[:FEATURES])
     chosen = chosen[z[chosen] > 3]
+    if not len(chosen):
+        return Model(weights, math.log(n1 / (n0 + 1)))
     place = np.full(1 << BUCKETS, -1)
     place[chosen] = np.arange(len(chosen))
     kept = [place[f[place[f] >= 0]] for f in features]
