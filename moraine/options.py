@@ -14,17 +14,19 @@ CODECS = {"none": "none", "snappy": "snappy", "lz4": "lz4_raw", "zstd": "zstd"}
 
 @dataclass(frozen=True)
 class StoreOptions:
-    """flush_bytes: unit bytes of the log tail at which ``maybe_flush`` flushes.  target_file_bytes: unit bytes of a level-0 file; level n
+    """flush_bytes: unit bytes of the log tail at which it is flushed, by each write that reaches it if ``auto_flush``, else by ``maybe_flush`` only.  target_file_bytes: unit bytes of a level-0 file; level n
     takes (n + 1) times that.  cluster_size: entries for each entry of the sparse index.  key_order: ``signed`` (bytes as -128..127),
     ``unsigned``, or a function from the key column to a string column that sorts as the keys shall."""
 
-    flush_bytes: int = 8 * MIB
-    target_file_bytes: int = 3 * MIB
+    flush_bytes: int = 512 * MIB
+    target_file_bytes: int = 256 * MIB
     cluster_size: int = 10
     compression: str = "lz4"
     key_order: str | Callable[[Column], Column] = "signed"
     bloom: bool = True
     broadcast_rows: int = 200_000
+    broadcast_bytes: int = 64 * MIB
+    auto_flush: bool = True
 
     def __post_init__(self):
         if self.target_file_bytes < MIB:

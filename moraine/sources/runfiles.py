@@ -16,6 +16,8 @@ from moraine.sources.manifest import RunFile
 #: .../L<level>-S<first sequence>-<tag>/part-<number>-...: the run's sequence is the first one plus the part's number
 _NAME = r"/L([0-9]+)-S([0-9]+)-[0-9a-f]+/part-([0-9]+)-[^/]*$"
 
+TAIL = 0.25  # of a file
+
 
 def _number(path, i: int):
     return F.regexp_extract(path, _NAME, i).cast("bigint")
@@ -30,13 +32,19 @@ def read(spark: SparkSession, runs) -> DataFrame:
     return entries.select("*", _number(path, 1).cast("int").alias("level"), (_number(path, 2) + _number(path, 3)).alias("file_seq"))
 
 
+def files_of(total_bytes: int, file_bytes: int) -> int:
+    whole, rest = divmod(total_bytes, file_bytes)
+    return max(1, whole + (rest >= TAIL * file_bytes))
+
+
 def write(entries: DataFrame, root: str, level: int, first_seq: int, total_bytes: int, options: StoreOptions) -> list[RunFile]:
     """Writes entries (unique keys) as runs of about the level's file size with disjoint key ranges, and describes them.
 
-    One range-partitioned sort; the number of ranges follows from the bytes.  Nothing is published: the caller commits.
+    One range-partitioned sort; the number of ranges follows from the bytes.  Ranges are even in rows, so no small file is left over at the end; less than
+    ``TAIL`` of a file beyond the last whole one is spread over the others instead of becoming one.  Nothing is published: the caller commits.
     """
     spark, target = entries.sparkSession, f"{root}/runs/L{level}-S{first_seq}-{uuid.uuid4().hex}"
-    n = max(1, -(-total_bytes // options.level_file_bytes(level)))
+    n = files_of(total_bytes, options.level_file_bytes(level))
     writer = entries.select(*ENTRIES.names).repartitionByRange(n, "okey").sortWithinPartitions("okey").write.option("compression", CODECS[options.compression])
     if options.bloom:
         writer = writer.option("parquet.bloom.filter.enabled#key", "true")

@@ -12,7 +12,7 @@ import uuid
 from collections import Counter
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from moraine.functions import keys as K
@@ -54,13 +54,22 @@ class SearchStats:
         return self.ok - sum(self.histogram.values())
 
 
+#: versions for which files that a flush or compaction replaced are kept, so that readers of the manifest before can finish
+KEPT_VERSIONS = 10
+
+
 class Store:
-    """Open with ``Store.open``; close, or use as a context manager."""
+    """Open with ``Store.open``; close, or use as a context manager.
+
+    Threads may share a store.  Appends run side by side and commit one after another; flushes and compactions take turns.  A reader works on the
+    manifest that it began with; files that were replaced since stay for ``KEPT_VERSIONS`` versions.
+    """
 
     def __init__(self, spark: SparkSession, path: str, options: StoreOptions):
         self.spark, self.path, self.options, self.closed = spark, f"{path.rstrip('/')}/MORAINE", options, False
         self.stats = SearchStats()
         self._cached: tuple[int, DataFrame] | None = None
+        self._commits, self._upkeep, self._retired = threading.RLock(), threading.RLock(), []
         paths.make_dir(spark, self.path)
         self._lock()
         self.log = ManifestLog(spark, self.path)
@@ -95,6 +104,7 @@ class Store:
         if not self.closed:
             self.closed = True
             self._drop_cache()
+            self._retire((), 0)
             paths.delete_path(self.spark, f"{self.path}/LOCK")
             with _GUARD:
                 _OPEN.discard(self.path)
@@ -111,20 +121,31 @@ class Store:
 
     def _commit(self, change, tries: int = 5) -> None:
         """Publishes ``change(manifest)``; after a conflict, on the manifest that the other writer left."""
-        for left in range(tries - 1, -1, -1):
-            try:
-                self.manifest = self.log.commit(change(self.manifest))
-                return
-            except ConflictError:
-                if not left:
-                    raise
-                time.sleep(0.05)
-                self.manifest = self.log.load()
+        with self._commits:
+            for left in range(tries - 1, -1, -1):
+                try:
+                    self.manifest = self.log.commit(change(self.manifest))
+                    return
+                except ConflictError:
+                    if not left:
+                        raise
+                    time.sleep(0.05)
+                    self.manifest = self.log.load()
+
+    def _retire(self, files, keep: int = KEPT_VERSIONS) -> None:
+        """Deletes what was replaced ``keep`` versions ago or more; ``files`` are replaced by the current version."""
+        with self._commits:
+            self._retired += [(self.manifest.version, f) for f in files]
+            old = [f for v, f in self._retired if v <= self.manifest.version - keep]
+            self._retired = [(v, f) for v, f in self._retired if v > self.manifest.version - keep]
+        for f in old:
+            paths.delete_path(self.spark, f)
 
     # writes
 
     def apply(self, mutations: DataFrame, stream: tuple[str, int] | None = None) -> None:
-        """Appends rows of (op, key, value) and optionally ``seq``, the order within the batch; without it keys must be unique.
+        """Appends rows of (op, key, value) and optionally ``seq``, the order within the batch; without it keys must be unique.  Flushes and compacts
+        what is due then, if the options say so.
 
         ``stream``: (name, batch number) of a stream; a batch that was taken in before is left out.
         """
@@ -139,11 +160,12 @@ class Store:
         value = F.when(~gone, F.coalesce(must(value.isNull(), "a put value is null").cast("binary"), value))
         rows = mutations.select((F.col("seq") if ordered else F.lit(0)).cast("bigint").alias("seq"), F.col("op"), key.alias("key"), value.alias("value"))
         path = f"{self.path}/log/{uuid.uuid4().hex}"
-        rows.write.option("compression", "zstd").parquet(path)
-        back = self.spark.read.schema(MUTATIONS).parquet(path)
-        told = back.agg(F.count("*").alias("n"), F.min("seq").alias("a"), F.max("seq").alias("b"), F.sum(K.unit_size(F.col("key"), F.col("value"), F.col("op") == "D")).alias("bytes")).first()
-        twice = back.groupBy(*(["key", "seq"] if ordered else ["key"])).agg(F.count("*").alias("n")).where("n > 1")
-        if told["n"] and not twice.isEmpty():
+        # what the manifest tells of a batch is counted while it is written
+        tap = Observation(uuid.uuid4().hex)
+        size = K.unit_size(F.col("key"), F.col("value"), F.col("op") == "D")
+        rows.observe(tap, F.count("*").alias("n"), F.min("seq").alias("a"), F.max("seq").alias("b"), F.sum(size).alias("bytes")).write.option("compression", "zstd").parquet(path)
+        told = tap.get
+        if told["n"] and self._has_twins(path, ["key", "seq"] if ordered else ["key"], told["n"]):
             paths.delete_path(self.spark, path)
             raise ValueError("mutations of one key need distinct seq values to tell which is newer")
         if not told["n"]:
@@ -157,6 +179,15 @@ class Store:
             return replace(m, streams=streams, tail=(*m.tail, Batch(path, m.next_seq - told["a"], m.next_seq + told["b"] - told["a"], told["bytes"])), next_seq=m.next_seq + told["b"] - told["a"] + 1)
 
         self._commit(change)
+        if self.options.auto_flush:
+            self.maybe_flush()
+
+    def _has_twins(self, path: str, by: list[str], n: int) -> bool:
+        """Whether rows of a batch agree in ``by``.  As many hashes as rows say no; fewer need the keys themselves."""
+        back = self.spark.read.schema(MUTATIONS).parquet(path)
+        if n == 1 or back.agg(F.count_distinct(F.xxhash64(*by))).first()[0] == n:
+            return False
+        return not back.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
 
     def put_all(self, rows: DataFrame) -> None:
         """Upserts rows of (key, value)."""
@@ -182,19 +213,25 @@ class Store:
     # reads
 
     def _tail(self, m: Manifest) -> DataFrame:
-        out = None
-        for b in m.tail:
-            rows = self.spark.read.schema(MUTATIONS).parquet(b.path).select((F.col("seq") + b.first).alias("seq"), "key", "value", (F.col("op") == "D").alias("is_deleted"))
-            out = rows if out is None else out.unionByName(rows)
-        if out is None:
+        """The unflushed batches: one scan of all of them, however many, and the sequence at which each begins by its folder's name."""
+        if not m.tail:
             out = self.spark.createDataFrame([], "seq bigint, key binary, value binary, is_deleted boolean")
+        else:
+            starts = self.spark.createDataFrame([(b.path.rsplit("/", 1)[1], b.first) for b in m.tail], "batch string, first bigint")
+            starts = F.broadcast(starts) if len(m.tail) <= self.options.broadcast_rows else starts
+            batch = F.regexp_extract(F.col("_metadata.file_path"), r"/log/([0-9a-f]+)/[^/]*$", 1).alias("batch")
+            rows = self.spark.read.schema(MUTATIONS).parquet(*[b.path for b in m.tail]).select("*", batch)
+            out = rows.join(starts, "batch").select((F.col("seq") + F.col("first")).alias("seq"), "key", "value", (F.col("op") == "D").alias("is_deleted"))
         return out.withColumn("okey", K.order_key(F.col("key"), self.options.key_order)).select(*ENTRIES.names)
 
     def entries(self, runs=None) -> DataFrame:
         """All versions in the tail and the runs (those given, or all), with what ranks them: level (-1 for the tail), file_seq, seq."""
+        return self._entries(self.manifest, runs)
+
+    def _entries(self, m: Manifest, runs=None) -> DataFrame:
         self._check()
-        tail = self._tail(self.manifest).withColumn("level", F.lit(-1)).withColumn("file_seq", F.lit(None).cast("bigint"))
-        return tail.unionByName(runfiles.read(self.spark, self.manifest.runs if runs is None else runs))
+        tail = self._tail(m).withColumn("level", F.lit(-1)).withColumn("file_seq", F.lit(None).cast("bigint"))
+        return tail.unionByName(runfiles.read(self.spark, m.runs if runs is None else runs))
 
     @staticmethod
     def _newest(entries: DataFrame) -> DataFrame:
@@ -205,23 +242,25 @@ class Store:
         return self._newest(self.entries()).where("NOT is_deleted").select("key", "value")
 
     def cached_snapshot(self) -> DataFrame:
-        """The snapshot, persisted until the store changes or closes."""
-        if self._cached is None or self._cached[0] != self.manifest.version:
-            self._drop_cache()
-            self._cached = self.manifest.version, self.snapshot().persist()
-        return self._cached[1]
+        """The snapshot, persisted until the store changes or closes; single lookups are answered from it while it is there."""
+        with self._commits:
+            if self._cached is None or self._cached[0] != self.manifest.version:
+                self._drop_cache()
+                self._cached = self.manifest.version, self.snapshot().persist()
+            return self._cached[1]
 
     def _drop_cache(self) -> None:
-        if self._cached is not None:
-            self._cached[1].unpersist()
-            self._cached = None
+        with self._commits:
+            if self._cached is not None:
+                self._cached[1].unpersist()
+                self._cached = None
 
     def scan(self, lo: bytes | None = None, hi: bytes | None = None) -> DataFrame:
         """Live rows with lo <= key <= hi in the store's order: runs outside the range aren't opened, and within files statistics prune."""
         self._check()
         bound = {n: self._okey_of(b) for n, b in (("lo", lo), ("hi", hi)) if b is not None}
-        runs = [r for r in self.manifest.runs if ("hi" not in bound or r.lo <= bound["hi"]) and ("lo" not in bound or r.hi >= bound["lo"])]
-        rows = self.entries(runs)
+        m = self.manifest
+        rows = self._entries(m, [r for r in m.runs if ("hi" not in bound or r.lo <= bound["hi"]) and ("lo" not in bound or r.hi >= bound["lo"])])
         for n, b in bound.items():
             rows = rows.where(F.col("okey") >= b if n == "lo" else F.col("okey") <= b)
         return self._newest(rows).where("NOT is_deleted").select("key", "value")
@@ -235,17 +274,18 @@ class Store:
     def multi_get(self, keys: DataFrame, record: bool = False) -> DataFrame:
         """(key, found, is_deleted, value, source, seeks) for each distinct key of ``keys``.
 
-        Runs whose range misses all keys aren't opened.  The key side is broadcast if it has ``broadcast_rows`` rows at most, which is
-        counted; else the join shuffles.  ``record`` adds the outcome to ``stats``, at the price of an action.
+        Runs whose range misses all keys aren't opened.  The key side is broadcast if it has ``broadcast_rows`` rows and ``broadcast_bytes`` at
+        most, which is counted; else the join shuffles.  ``record`` adds the outcome to ``stats``, at the price of an action.
         """
         self._check()
         asked = keys.select(F.col("key").cast("binary").alias("key")).where("key IS NOT NULL").distinct().withColumn("okey", K.order_key(F.col("key"), self.options.key_order))
-        told = asked.agg(F.min("okey").alias("lo"), F.max("okey").alias("hi"), F.count("*").alias("n")).first()
-        runs = [r for r in self.manifest.runs if told["n"] and r.lo <= told["hi"] and r.hi >= told["lo"]]
+        told = asked.agg(F.min("okey").alias("lo"), F.max("okey").alias("hi"), F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("key")), F.lit(0)).alias("bytes")).first()
+        m, small = self.manifest, told["n"] <= self.options.broadcast_rows and told["bytes"] <= self.options.broadcast_bytes
+        runs = [r for r in m.runs if told["n"] and r.lo <= told["hi"] and r.hi >= told["lo"]]
         side = asked.select("key")
-        wanted = self.entries(runs).join(F.broadcast(side) if told["n"] <= self.options.broadcast_rows else side, "key", "left_semi")
+        wanted = self._entries(m, runs).join(F.broadcast(side) if small else side, "key", "left_semi")
         hit = self._newest(wanted).select("key", "is_deleted", F.when(~F.col("is_deleted"), F.col("value")).alias("value"), "level", F.col("file_seq").alias("_seq"))
-        ranges = as_table(self.spark, replace(self.manifest, runs=tuple(runs))).select(F.col("level").alias("_l"), F.col("file_seq").alias("_r"), "lo", "hi")
+        ranges = as_table(self.spark, replace(m, runs=tuple(runs))).select(F.col("level").alias("_l"), F.col("file_seq").alias("_r"), "lo", "hi")
         newer = (F.col("_l") < F.col("level")) | ((F.col("_l") == F.col("level")) & (F.col("_r") >= F.col("_seq")))
         in_runs = hit.where("level >= 0").join(asked, "key").join(F.broadcast(ranges) if len(runs) <= self.options.broadcast_rows else ranges, (F.col("okey") >= F.col("lo")) & (F.col("okey") <= F.col("hi")) & newer)
         opened = in_runs.groupBy("key").agg(F.count("*").cast("int").alias("seeks"))
@@ -258,26 +298,38 @@ class Store:
 
     def record(self, found: DataFrame) -> None:
         """Adds lookups' outcomes to the statistics."""
-        for r in found.groupBy("found", "seeks").agg(F.count("*").alias("n")).collect():
-            if r["found"]:
-                self.stats.ok += r["n"]
-                if r["seeks"]:
-                    self.stats.histogram[r["seeks"]] += r["n"]
-            else:
-                self.stats.miss += r["n"]
+        told = found.groupBy("found", "seeks").agg(F.count("*").alias("n")).collect()
+        with self._commits:
+            for r in told:
+                if r["found"]:
+                    self.stats.ok += r["n"]
+                    if r["seeks"]:
+                        self.stats.histogram[r["seeks"]] += r["n"]
+                else:
+                    self.stats.miss += r["n"]
 
     def get(self, key: bytes) -> bytes | None:
         """The value of one key; None if absent or deleted.  A Spark job each: for more than a few keys, ``multi_get``."""
         self._check()
         if key is None:
             raise ValueError("the key is null")
+        with self._commits:
+            cached = self._cached[1] if self._cached is not None and self._cached[0] == self.manifest.version else None
+        if cached is not None:
+            # a value that is there is in the cache and opens no run; what isn't may be a tombstone, which the store tells
+            held = cached.where(F.col("key") == F.lit(bytearray(key))).select("value").head()
+            if held is not None:
+                with self._commits:
+                    self.stats.ok += 1
+                return bytes(held["value"])
         row = self.multi_get(self.spark.createDataFrame([(bytearray(key),)], "key binary")).first()
-        if row["found"]:
-            self.stats.ok += 1
-            if row["seeks"]:
-                self.stats.histogram[row["seeks"]] += 1
-        else:
-            self.stats.miss += 1
+        with self._commits:
+            if row["found"]:
+                self.stats.ok += 1
+                if row["seeks"]:
+                    self.stats.histogram[row["seeks"]] += 1
+            else:
+                self.stats.miss += 1
         return None if row["value"] is None else bytes(row["value"])
 
     def search_stats(self) -> SearchStats:
@@ -290,33 +342,55 @@ class Store:
         return sum(b.bytes for b in self.manifest.tail)
 
     def maybe_flush(self) -> bool:
-        """Flushes if the tail has reached ``flush_bytes``, then compacts what is due."""
+        """Flushes if the tail has reached ``flush_bytes``, then compacts what is due.  A writer waits for both: the log can't outgrow them."""
         if self.tail_bytes() < self.options.flush_bytes:
             return False
-        self.flush()
-        self.maybe_compact()
+        with self._upkeep:
+            if self.tail_bytes() < self.options.flush_bytes:  # another thread has done it
+                return False
+            self.flush()
+            self.maybe_compact()
         return True
 
     def flush(self) -> int:
         """Writes the tail, newest version of each key, tombstones kept, as runs of level 0; returns how many."""
+        with self._upkeep:
+            return self._flush()
+
+    def _flush(self) -> int:
         self._check()
         m = self.manifest
         if not m.tail:
             return 0
         rows = newest(self._tail(m), ["key"], [F.col("seq").desc()])
-        made = runfiles.write(rows, self.path, 0, m.next_file_seq, self.tail_bytes(), self.options)
+        made = runfiles.write(rows, self.path, 0, m.next_file_seq, sum(b.bytes for b in m.tail), self.options)
         gone = {b.path for b in m.tail}
 
         def change(now: Manifest) -> Manifest:
             if now.next_file_seq != m.next_file_seq or now.runs != m.runs:
                 raise RuntimeError("the runs have changed while the tail was flushed")
+            self._check_swap(now, (), made, 0)
             return replace(now, runs=(*now.runs, *made), tail=tuple(b for b in now.tail if b.path not in gone), next_file_seq=max([now.next_file_seq, *(r.file_seq + 1 for r in made)]))
 
         self._commit(change)
-        for path in gone:
-            paths.delete_path(self.spark, path)
+        self._retire(gone)
         return len(made)
 
+    def _check_swap(self, now: Manifest, removed, added, level: int) -> None:
+        """What a manifest must never take in: runs of several levels at once, files that aren't there, numbers that are taken, ranges that overlap."""
+        if {r.level for r in added} - {level}:
+            raise ValueError(f"the new runs aren't all of level {level}")
+        taken = {r.file_seq for r in now.runs} - {r.file_seq for r in removed}
+        if taken & {r.file_seq for r in added} or len({r.file_seq for r in added}) < len(added):
+            raise ValueError("a run number stands twice")
+        ordered = sorted(added, key=lambda r: r.lo)
+        if any(a.hi >= b.lo for a, b in zip(ordered, ordered[1:])):
+            raise ValueError("the new runs overlap")
+        have = {f: set(paths.names(self.spark, f)) for f in {r.file.rsplit("/", 1)[0] for r in added}}
+        lost = [r.file for r in added if r.file.rsplit("/", 1)[1] not in have[r.file.rsplit("/", 1)[0]]]
+        if lost:
+            raise FileNotFoundError(f"{lost[0]} isn't there")
+
     def due_levels(self) -> list[int]:
         held = Counter(r.level for r in self.manifest.runs)
         return [level for level in sorted(held) if held[level] > compaction.level_capacity(level)]
@@ -331,6 +405,10 @@ class Store:
 
     def compact(self, level: int) -> bool:
         """One compaction of a level: chosen runs are merged into the next one; False if no choice is worth it."""
+        with self._upkeep:
+            return self._compact(level)
+
+    def _compact(self, level: int) -> bool:
         self._check()
         m = self.manifest
         chosen, major_next = pick_alternating([r.as_run() for r in m.runs], level, m.major_next.get(level, True))
@@ -341,10 +419,11 @@ class Store:
 
     def compact_all(self) -> bool:
         """All runs into one level below the lowest: no tombstone survives."""
-        self._check()
-        if not self.manifest.runs:
-            return False
-        return self._merge(list(self.manifest.runs), max(1, *(r.level for r in self.manifest.runs)), {})
+        with self._upkeep:
+            self._check()
+            if not self.manifest.runs:
+                return False
+            return self._merge(list(self.manifest.runs), max(1, *(r.level for r in self.manifest.runs)), {})
 
     def _merge(self, inputs, target: int, flags: dict) -> bool:
         m, seqs = self.manifest, {r.file_seq for r in inputs}
@@ -358,12 +437,12 @@ class Store:
         def change(now: Manifest) -> Manifest:
             if not seqs <= {r.file_seq for r in now.runs} or now.next_file_seq != m.next_file_seq:
                 raise RuntimeError("the runs have changed while they were merged")
+            self._check_swap(now, inputs, made, target)
             kept = tuple(r for r in now.runs if r.file_seq not in seqs)
             return replace(now, runs=(*kept, *made), next_file_seq=max([now.next_file_seq, *(r.file_seq + 1 for r in made)]), major_next=now.major_next | flags)
 
         self._commit(change)
-        for r in inputs:
-            paths.delete_path(self.spark, r.file)
+        self._retire([r.file for r in inputs])
         return True
 
     def vacuum(self) -> int:

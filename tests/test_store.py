@@ -96,6 +96,105 @@ def test_cached_snapshot(store):
     assert [bytes(r.value) for r in store.cached_snapshot().collect()] == [b"2"] and not first.is_cached
 
 
+def test_writes_flush_and_compact(spark, tmp_path):
+    """A user who only writes: the tail is flushed once it is full, levels are compacted, and what is read stays right."""
+    options = StoreOptions(flush_bytes=1 << 20, target_file_bytes=1 << 20)
+    r, model = random.Random(2), {}
+    with Store.open(spark, str(tmp_path / "db"), options) as store:
+        for n in range(8):
+            ops = [(b"k%05d" % r.randrange(2000), r.randbytes(600)) for _ in range(900)]
+            store.apply(rows(spark, ops))
+            model |= dict(ops)
+            assert store.tail_bytes() < options.flush_bytes
+        assert store.manifest.runs and any(x.level > 0 for x in store.manifest.runs)
+        assert contents(store) == model
+    with Store.open(spark, str(tmp_path / "db"), StoreOptions(flush_bytes=1 << 20, target_file_bytes=1 << 20, auto_flush=False)) as store:
+        before = store.manifest.runs
+        store.apply(rows(spark, [(b"big", bytes(2 << 20))]))
+        assert store.manifest.runs == before and store.tail_bytes() > 1 << 20 and store.maybe_flush() and store.tail_bytes() == 0
+
+
+def test_threads_share_a_store(spark, tmp_path):
+    """Writers, readers and upkeep side by side: every read sees whole batches, and in the end all is there."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    batches = {t: [[(b"t%d-%d-%d" % (t, n, i), b"v%d" % n) for i in range(20)] for n in range(4)] for t in range(4)}
+    with Store.open(spark, str(tmp_path / "db"), StoreOptions(flush_bytes=1 << 20, target_file_bytes=1 << 20)) as store:
+
+        def write(t):
+            for ops in batches[t]:
+                store.apply(rows(spark, ops))
+
+        def read(_):
+            for _ in range(4):
+                seen = {}
+                for k in contents(store):
+                    seen.setdefault(k.rsplit(b"-", 1)[0], []).append(k)
+                assert all(len(v) == 20 for v in seen.values())
+                store.get(b"t0-0-0")
+
+        def keep(_):
+            for _ in range(3):
+                store.flush()
+                store.maybe_compact()
+
+        with ThreadPoolExecutor(9) as pool:
+            work = [pool.submit(write, t) for t in batches] + [pool.submit(read, i) for i in range(3)] + [pool.submit(keep, i) for i in range(2)]
+            for w in work:
+                w.result()
+        assert contents(store) == {k: v for b in batches.values() for ops in b for k, v in ops}
+        assert store.stats.total == 12
+
+
+def test_many_batches_are_one_scan(spark, store):
+    for n in range(40):
+        store.put(b"k%d" % (n % 25), b"v%d" % n)
+    plan = store.snapshot()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1 and len(store.manifest.tail) == 40
+    assert contents(store) == {b"k%d" % (n % 25): b"v%d" % n for n in range(40)}
+
+
+def test_lookups_from_the_cached_snapshot(store):
+    store.put(b"a", b"1")
+    store.put(b"b", b"2")
+    store.delete(b"b")
+    store.cached_snapshot()
+    assert store.get(b"a") == b"1" and store.get(b"b") is None and store.get(b"c") is None
+    assert (store.stats.ok, store.stats.miss) == (2, 1)
+    store.put(b"a", b"3")
+    assert store.get(b"a") == b"3"
+
+
+def test_replaced_files_stay_for_readers(spark, store):
+    store.put(b"a", b"1")
+    early = store.snapshot()
+    store.flush()
+    store.put(b"a", b"2")
+    store.flush()
+    store.compact_all()
+    assert [bytes(r.value) for r in early.collect()] == [b"1"] and contents(store) == {b"a": b"2"}
+
+
+def test_a_swap_is_checked(spark, store):
+    from dataclasses import replace
+
+    store.put(b"a", b"1")
+    store.flush()
+    (run,) = store.manifest.runs
+    bad = [(replace(run, file_seq=9), 1, ValueError, "level"), (run, 0, ValueError, "twice"), (replace(run, file_seq=9, file=run.file + "x"), 0, FileNotFoundError, "there")]
+    for added, level, error, what in bad:
+        with pytest.raises(error, match=what):
+            store._check_swap(store.manifest, (), [added], level)
+    with pytest.raises(ValueError, match="overlap"):
+        store._check_swap(store.manifest, (), [replace(run, file_seq=8), replace(run, file_seq=9)], 0)
+
+
+def test_small_tail_of_a_run_is_spread():
+    from moraine.sources.runfiles import files_of
+
+    assert [files_of(n, 100) for n in (0, 1, 99, 100, 120, 125, 199, 224, 250)] == [1, 1, 1, 1, 1, 2, 2, 2, 3]
+
+
 def test_closed_and_locked(spark, tmp_path):
     path = str(tmp_path / "db")
     store = Store.open(spark, path)
