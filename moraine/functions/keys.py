@@ -56,8 +56,10 @@ def run_name_parts(name: Column) -> tuple[Column, Column]:
 def common_prefix(a: Column, b: Column) -> Column:
     """Length of the longest common prefix of two strings or binaries."""
     n = F.least(F.length(a), F.length(b))
-    longest = F.array_max(F.filter(F.sequence(F.lit(0), n), lambda i: F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i)))
-    return longest.cast("bigint")
+    same = lambda i: F.substring(a, i, F.lit(1)) == F.substring(b, i, F.lit(1))
+    # one character after another, as long as they agree
+    longest = F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda length, i: F.when((length == i - 1) & same(i), i).otherwise(length))
+    return F.when(n > 0, longest).otherwise(F.when(n == 0, 0)).cast("bigint")
 
 
 def rebuild_key(first: Column, prefix: Column, suffix: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+BROADCAST = 200_000  # rows of a manifest, each some 200 bytes
 
 def multi_get(keys: DataFrame, newest: DataFrame, key: str = "key", deleted: str = "is_deleted", value: str = "value") -> DataFrame:
     """(key, found, value) for each key: found also if what is found is a tombstone, whose value is null."""
@@ -21,12 +22,27 @@ def hit_counts(found: DataFrame, flag: str = "found") -> DataFrame:
 def candidate_runs(keys: DataFrame, manifest: DataFrame, key: str = "okey", upper: bool = True) -> DataFrame:
     """Each key with the runs whose range holds it (or, without ``upper``, begins at or below it).
 
-    The manifest is metadata, one row a run, and the callers check its size before they read by it; a range join with it runs as a
-    broadcast nested loop.
+    The manifest is metadata, one row a run: it is counted, and up to ``BROADCAST`` rows it is broadcast for the range join, as a nested loop.
+    A larger one is met by sorting: see ``_sorted_candidates``.
     """
     at = F.col(key)
     near = (at >= F.col("lo")) & (at <= F.col("hi")) if upper else at >= F.col("lo")
-    return keys.join(F.broadcast(manifest), near)
+    if manifest.limit(BROADCAST + 1).count() <= BROADCAST:
+        return keys.join(F.broadcast(manifest), near)
+    return _sorted_candidates(keys, manifest, key, near)
+
+
+def _sorted_candidates(keys: DataFrame, manifest: DataFrame, key: str, near, stretches: int = 256) -> DataFrame:
+    """The range join without a broadcast of the manifest: keys and runs are dealt to stretches of the key order, cut where the runs' first keys are cut into
+    ``stretches`` ranges, a run to each stretch that it meets, and joined by stretch."""
+    ranges = manifest.select("lo").repartitionByRange(stretches, "lo").groupBy(F.spark_partition_id().alias("n")).agg(F.min("lo").alias("lo"))
+    bounds = sorted(r["lo"] for r in ranges.collect())  # one for each stretch
+    cuts = F.array(*map(F.lit, bounds))
+    # how many cuts stand at or below a value
+    stretch = lambda c: F.size(F.filter(cuts, lambda x: x <= c))
+    upto = stretch(F.col("hi")) if "hi" in manifest.columns else F.lit(len(bounds))
+    dealt = manifest.withColumn("_stretch", F.explode(F.sequence(stretch(F.col("lo")), upto)))
+    return keys.withColumn("_stretch", stretch(F.col(key))).join(dealt, "_stretch").where(near).drop("_stretch")
 
 
 def locate_cluster(keys: DataFrame, index: DataFrame, manifest: DataFrame, key: str = "okey", run: str = "file_seq") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from moraine.functions.keys import common_prefix
 from moraine.operators.snapshot import newest
 
+RANGES = 64  # that an order is cut into to be ranked
 
 def flush(mutations: DataFrame, key: str = "key", seq: str = "seq", run: str = "file_seq") -> DataFrame:
     """What each run holds after its flush: the newest mutation of every key, tombstones kept."""
@@ -31,6 +32,22 @@ def clusters(entries: DataFrame, cluster_size: int = 10, order: str = "okey", ru
     return entries.withColumn("cluster_id", F.floor(at / cluster_size).cast("bigint"))
 
 
+def rank_all(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """``rows`` with their rank from 1 in ``order``, whose values are distinct and not null.
+
+    The order is cut into ranges at sampled values; rows are ranked within their range, and the ranges' sizes, one number each, are summed up
+    before.  The cuts are collected and made part of the plan, so that a range means the same wherever it is computed.
+    """
+    ranges = rows.select(order).repartitionByRange(RANGES, order).groupBy(F.spark_partition_id().alias("n")).agg(F.min(order).alias("low"))
+    cuts = sorted(r["low"] for r in ranges.collect())
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x <= F.col(order))) if cuts else F.lit(0)
+    dealt = rows.withColumn("_range", part)
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_size"))
+    before = sizes.select("_range", F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = dealt.withColumn("_inside", F.row_number().over(Window.partitionBy("_range").orderBy(order)))
+    return inside.join(before, "_range").withColumn(name, (F.col("_before") + F.col("_inside")).cast("bigint")).drop("_range", "_size", "_before", "_inside")
+
+
 def sparse_index(entries: DataFrame, cluster_size: int = 10, order: str = "okey", run: str = "file_seq") -> DataFrame:
     """(run, cluster_id, first_key, last_key, n): one row for each cluster."""
     return clusters(entries, cluster_size, order, run).groupBy(run, "cluster_id").agg(F.min(order).alias("first_key"), F.max(order).alias("last_key"), F.count("*").alias("n"))

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 def newest(rows: DataFrame, by: list[str], order: list) -> DataFrame:
     """The first row of each ``by`` in ``order``.  Ranks are limited before the shuffle, so a hot key sends one row a task."""
-    return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_rank = 1").drop("_rank")
+    rank = "_rank"
+    while rank in rows.columns:
+        rank = f"_{rank}"
+    return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) == 1).drop(rank)
 
 
 def latest(mutations: DataFrame, key: str = "key", seq: str = "seq", deleted: str = "is_deleted") -> DataFrame:
@@ -44,7 +47,3 @@ def memtable_bytes(mutations: DataFrame, key: str = "key", seq: str = "seq", siz
     """Bytes in the write buffer after each mutation: a unit's size less that of the one it replaces, summed up."""
     replaced = F.coalesce(F.lag(size).over(Window.partitionBy(key).orderBy(seq)), F.lit(0))
     return running_sum(mutations.withColumn("_delta", F.col(size) - replaced), seq, F.col("_delta"), name).drop("_delta")
-
-
-def is_full(size, limit: int):
-    return size >= limit

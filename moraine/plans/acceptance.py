@@ -44,13 +44,24 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.describe(entries(spark, sf_dir), "k", "is_del", "sz")
 
 
+def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest as a table of records: it is metadata, one row a run, which readers hold."""
+    rows = manifest(spark, sf_dir)
+    return spark.createDataFrame(rows.collect(), rows.schema)
+
+
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")).distinct()
 
 
 def chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The runs that a major compaction of level 0 takes: chosen on the driver, from one record a run."""
-    rows = manifest(spark, sf_dir).select("file_seq", "level", "lo", "hi").collect()
+    """The runs that a major compaction of level 0 takes."""
+    return _chosen(spark, run_records(spark, sf_dir))
+
+
+def _chosen(spark: SparkSession, records: DataFrame) -> DataFrame:
+    """Chosen on the driver, from one record a run."""
+    rows = records.select("file_seq", "level", "lo", "hi").collect()
     got = pick([Run(**r.asDict()) for r in rows], 0)
     return spark.createDataFrame([(r.file_seq,) for r in got], "file_seq bigint")
 
@@ -95,7 +106,7 @@ def sparse_index(spark, sf_dir):
 
 
 def cluster_locate(spark, sf_dir):
-    return lookup.locate_cluster(probes(spark, sf_dir), _index(spark, sf_dir), manifest(spark, sf_dir), "k")
+    return lookup.locate_cluster(probes(spark, sf_dir), _index(spark, sf_dir), run_records(spark, sf_dir), "k")
 
 
 def cluster_lcp(spark, sf_dir):
@@ -105,8 +116,7 @@ def cluster_lcp(spark, sf_dir):
 
 
 def multi_get(spark, sf_dir):
-    keys = _table(spark, sf_dir, "orders").where("o_orderkey < 400").select(F.col("o_custkey").alias("k")).distinct()
-    return lookup.multi_get(keys, snapshot.merge_runs(entries(spark, sf_dir), "k"), "k", "is_del", "v")
+    return lookup.multi_get(probes(spark, sf_dir), snapshot.merge_runs(entries(spark, sf_dir), "k"), "k", "is_del", "v")
 
 
 def search_stats(spark, sf_dir):
@@ -114,11 +124,11 @@ def search_stats(spark, sf_dir):
 
 
 def range_prune(spark, sf_dir):
-    return lookup.candidate_runs(probes(spark, sf_dir), manifest(spark, sf_dir).select("file_seq", "lo", "hi"), "k").groupBy("k").agg(F.count("*").alias("candidates"))
+    return lookup.candidate_runs(probes(spark, sf_dir), run_records(spark, sf_dir).select("file_seq", "lo", "hi"), "k").groupBy("k").agg(F.count("*").alias("candidates"))
 
 
 def seek_histogram(spark, sf_dir):
-    return lookup.seek_histogram(lookup.seeks(probes(spark, sf_dir), entries(spark, sf_dir), manifest(spark, sf_dir), "k"))
+    return lookup.seek_histogram(lookup.seeks(probes(spark, sf_dir), entries(spark, sf_dir), run_records(spark, sf_dir), "k"))
 
 
 def runs_with_key(spark, sf_dir):
@@ -126,7 +136,7 @@ def runs_with_key(spark, sf_dir):
 
 
 def overlap_pairs(spark, sf_dir):
-    return compaction.overlap_pairs(manifest(spark, sf_dir))
+    return compaction.overlap_pairs(run_records(spark, sf_dir))
 
 
 def compaction_trigger(spark, sf_dir):
@@ -147,7 +157,8 @@ def compact_gc(spark, sf_dir):
 
 def manifest_swap(spark, sf_dir):
     """The manifest after that compaction, whose output is one run of level 1."""
-    before, gone = manifest(spark, sf_dir), chosen(spark, sf_dir)
+    before = run_records(spark, sf_dir)
+    gone = _chosen(spark, before)
     merged = compaction.merge_chosen(entries(spark, sf_dir), gone, "k", deleted="is_del")
     number = F.broadcast(runs.next_file_seq(before).withColumnRenamed("next_seq", "file_seq"))
     added = runs.describe(merged.drop("level", "file_seq").join(number).withColumn("level", F.lit(1)), "k", "is_del", "sz")
@@ -177,12 +188,22 @@ def unit_size(spark, sf_dir):
 
 
 def signed_order(spark, sf_dir):
-    """Distinct text prefixes and their rank in signed byte order.  The rank is over distinct prefixes of three letters, a bounded set."""
-    from pyspark.sql import Window
+    """Distinct texts, whole, and their rank in signed byte order."""
+    texts = _table(spark, sf_dir, "conversations").select("text").where("text IS NOT NULL").distinct()
+    ranked = runs.rank_all(texts.withColumn("okey", K.order_key(F.encode("text", "UTF-8"))), "okey", "rank")
+    return ranked.select("text", "rank")
+
+
+def level_check(spark, sf_dir):
+    """Levels of the runs that the compaction takes, and how many of them there are."""
+    records = run_records(spark, sf_dir)
+    return compaction.mixed_levels(records, _chosen(spark, records))
+
 
-    p = _table(spark, sf_dir, "conversations").select(F.substring("text", 1, 3).alias("prefix")).where("prefix IS NOT NULL").distinct()
-    okey = K.order_key(F.encode("prefix", "UTF-8"))
-    return p.select("prefix", F.row_number().over(Window.orderBy(okey)).cast("bigint").alias("rank"))
+def split_files(spark, sf_dir):
+    """The files of 4,000 unit bytes that a size-bounded writer makes of each run."""
+    cut = compaction.split_files(entries(spark, sf_dir), 4_000, "k", "sz")
+    return cut.groupBy("file_seq", "file").agg(F.count("*").alias("n_entries"), F.min("k").alias("lo"), F.max("k").alias("hi"), F.sum("sz").cast("bigint").alias("bytes"))
 
 
 def file_name_parse(spark, sf_dir):
@@ -209,7 +230,7 @@ def codec_roundtrip(spark, sf_dir):
 
 _NAMES = """latest_snapshot run_merge log_replay flush_runs run_order_check run_scan run_manifest sparse_index cluster_locate cluster_lcp multi_get
 search_stats range_prune seek_histogram runs_with_key overlap_pairs compaction_trigger level_capacity compaction_pick compact_gc manifest_swap
-combined_range next_file_seq avg_entries memtable_bytes unit_size signed_order file_name_parse codec_roundtrip""".split()
+combined_range next_file_seq avg_entries memtable_bytes unit_size signed_order file_name_parse codec_roundtrip level_check split_files""".split()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -251,7 +272,7 @@ _SQL = {
     "sparse_index": "SELECT * FROM ix",
     "cluster_locate": "SELECT q.k, ix.file_seq, MAX(ix.cluster_id) AS cluster_id FROM q JOIN ix ON ix.first_key<=q.k GROUP BY 1, 2",
     "cluster_lcp": "SELECT file_seq, cluster_id, (SELECT MAX(CAST(i AS BIGINT)) FROM range(0, 11) t(i) WHERE LEFT(LPAD(CAST(first_key AS VARCHAR), 10, '0'), CAST(i AS INT))=LEFT(LPAD(CAST(last_key AS VARCHAR), 10, '0'), CAST(i AS INT))) AS lcp FROM ix",
-    "multi_get": "SELECT g.k, t.k IS NOT NULL AS found, CASE WHEN t.is_del THEN NULL ELSE t.v END AS v FROM (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderkey<400) g LEFT JOIN top t ON t.k=g.k",
+    "multi_get": "SELECT g.k, t.k IS NOT NULL AS found, CASE WHEN t.is_del THEN NULL ELSE t.v END AS v FROM q g LEFT JOIN top t ON t.k=g.k",
     "search_stats": "SELECT COUNT(t.k) AS ok, COUNT(*)-COUNT(t.k) AS miss FROM q LEFT JOIN top t ON t.k=q.k",
     "range_prune": "SELECT q.k, COUNT(*) AS candidates FROM q JOIN man ON q.k BETWEEN lo AND hi GROUP BY q.k",
     "seek_histogram": "SELECT seeks, COUNT(*) AS n FROM (SELECT c.k, MIN(c.seeks) AS seeks FROM (SELECT q.k, file_seq, ROW_NUMBER() OVER (PARTITION BY q.k ORDER BY level, file_seq DESC) AS seeks FROM q JOIN man ON q.k BETWEEN lo AND hi) c JOIN r ON r.k=c.k AND r.file_seq=c.file_seq GROUP BY c.k) GROUP BY seeks",
@@ -267,7 +288,9 @@ _SQL = {
     "avg_entries": "SELECT level, CAST(FLOOR(AVG(n_entries)) AS BIGINT) AS avg_entries FROM man GROUP BY level",
     "memtable_bytes": "SELECT seq, CAST(SUM(d) OVER (ORDER BY seq) AS BIGINT) AS mem_bytes FROM (SELECT seq, sz-COALESCE(LAG(sz) OVER (PARTITION BY k ORDER BY seq), 0) AS d FROM m)",
     "unit_size": "SELECT seq, sz FROM m",
-    "signed_order": "SELECT prefix, ROW_NUMBER() OVER (ORDER BY [(b+128)%256 FOR b IN [('0x' || hex(encode(prefix))[2*i-1:2*i])::INT FOR i IN range(1, octet_length(encode(prefix))+1)]]) AS rank FROM (SELECT DISTINCT LEFT(text, 3) AS prefix FROM conversations WHERE text IS NOT NULL)",
+    "signed_order": "SELECT text, ROW_NUMBER() OVER (ORDER BY [(b+128)%256 FOR b IN [('0x' || hex(encode(text))[2*i-1:2*i])::INT FOR i IN range(1, octet_length(encode(text))+1)]]) AS rank FROM (SELECT DISTINCT text FROM conversations WHERE text IS NOT NULL)",
+    "level_check": "SELECT COUNT(DISTINCT level) AS levels, COUNT(*) AS known FROM man WHERE file_seq IN (SELECT file_seq FROM sel)",
+    "split_files": "SELECT file_seq, file, COUNT(*) AS n_entries, MIN(k) AS lo, MAX(k) AS hi, CAST(SUM(sz) AS BIGINT) AS bytes FROM (SELECT *, CAST(FLOOR(COALESCE(SUM(sz) OVER (PARTITION BY file_seq ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)/4000.0) AS BIGINT) AS file FROM r) GROUP BY file_seq, file",
     "file_name_parse": "SELECT name, regexp_extract(name, '^SST_([0-9]+)_([0-9]+)[.]sst$', 1) AS level, regexp_extract(name, '^SST_([0-9]+)_([0-9]+)[.]sst$', 2) AS file_seq FROM (SELECT 'SST_' || level || '_' || file_seq || '.sst' AS name FROM man UNION ALL SELECT 'Level_0_UNFINISHED_SST_' || level || '_' || file_seq || '.sst' FROM man)",
 }
 

@@ -71,5 +71,7 @@ def shared_dir(spark: SparkSession) -> str:
         return told
     have = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not have.isDefined():
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="moraine-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
