@@ -1,6 +1,6 @@
 """Language identification by a linear-chain conditional random field over words.
 
-A word is a run of letters, lower-cased, cut at changes of script and, beyond ``PIECE`` letters, into even pieces, so that scripts
+A word is a run of letters (Unicode categories L, and marks inside it), lower-cased, cut at changes of script and, beyond ``PIECE`` letters, into even pieces, so that scripts
 without spaces are read whole.  It has features: itself if the learned lexicon holds it, prefixes and suffixes of 1 to 3 letters, and
 letter 2- and 3-grams with its boundaries, hashed to 2^16 buckets.  Labels are languages; transitions between neighbouring
 words' labels are learned.  The training sequences are code-switched: runs of words from labelled texts of different languages,
@@ -21,11 +21,11 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 import zlib
 from collections import Counter
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from moraine.llm.sampling import choose, text_hash, texts_of
 
-WORD = r"[^\W\d_]+"
+WORD = re.compile(r"[^\W\d_]+")  # letters, and signs such as ² that letters() takes out
 BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 PER_LANG, CHARS = 400, 2_400_000
 LEXICON = 3000  # most frequent words of each language in the training sample
@@ -55,11 +55,33 @@ class Crf:
     start: np.ndarray
 
 
-@lru_cache(maxsize=1 << 16)
+# caches of a process; functools' own can't travel to workers by value
+_MARKED: list[re.Pattern] = []
+_SCRIPTS: dict[str, str] = {}
+
+
+def marked_word() -> re.Pattern:
+    """Letters, and the marks that follow them."""
+    if not _MARKED:
+        marks = "".join(chr(c) for c in range(0x300, sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == "M")
+        _MARKED.append(re.compile(rf"[^\W\d_](?:[^\W\d_]|[{marks}])*"))
+    return _MARKED[0]
+
+
+def letters(run: str) -> list[str]:
+    """The parts of a run that are letters and marks, without those that are marks only."""
+    if run.isalpha():
+        return [run]
+    parts = "".join(c if c.isalpha() or unicodedata.category(c)[0] == "M" else " " for c in run).split()
+    return [p for p in parts if any(c.isalpha() for c in p)]
+
+
 def script(letter: str) -> str:
-    """The script of a letter by its Unicode name; empty for signs of no script."""
-    name = re.split("[ -]", unicodedata.name(letter, "").removeprefix("FULLWIDTH ").removeprefix("HALFWIDTH "))[0]
-    return "" if name in ("MODIFIER", "MICRO", "FEMININE", "MASCULINE") else name
+    """The script of a letter by its Unicode name; empty for marks and signs of no script."""
+    if letter not in _SCRIPTS:
+        name = re.split("[ -]", unicodedata.name(letter, "").removeprefix("FULLWIDTH ").removeprefix("HALFWIDTH "))[0]
+        _SCRIPTS[letter] = "" if unicodedata.category(letter)[0] == "M" or name in ("MODIFIER", "MICRO", "FEMININE", "MASCULINE") else name
+    return _SCRIPTS[letter]
 
 
 def pieces(run: str) -> list[str]:
@@ -79,8 +101,11 @@ def pieces(run: str) -> list[str]:
 
 def words_of(text: str) -> list[str]:
     text = text.lower()
-    runs = re.findall(WORD, text)
-    if not runs or max(map(len, runs)) <= PIECE and not BEYOND_LATIN.search(text):
+    plain = not BEYOND_LATIN.search(text)
+    runs = (WORD if plain else marked_word()).findall(text)
+    if not text.isascii() and not all(map(str.isalpha, runs)):
+        runs = [part for run in runs for part in letters(run)]
+    if not runs or plain and max(map(len, runs)) <= PIECE:
         return runs
     return [p for run in runs for p in ([run] if len(run) <= PIECE and run.isascii() else pieces(run))]
 
@@ -292,7 +317,8 @@ def identify(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str =
     """One row per input row: id, lang, score, n_words, and with ``spans`` the runs of words of one language: array of (first word,
     number of words, lang)."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    model = docs.sparkSession.sparkContext.broadcast(crf)
+    # plain values: a broadcast is pickled by reference, and executors need not have this package
+    model = docs.sparkSession.sparkContext.broadcast((crf.labels, sorted(crf.lexicon), crf.weights, crf.transitions, crf.start))
     kind = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64()), ("lang", pa.string())]))
 
     def runs(labels: np.ndarray, names: list[str]) -> list[dict]:
@@ -302,7 +328,8 @@ def identify(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str =
         return [{"first": int(a), "words": int(b - a), "lang": names[labels[a]]} for a, b in zip(cut[:-1], cut[1:])]
 
     def kernel(batches):
-        tagger = Tagger(model.value)
+        labels, lexicon, *rest = model.value
+        tagger = Tagger(Crf(labels, frozenset(lexicon), *rest))
         for batch in batches:
             got, part, size = [], [], 0
             for t in batch.column(1):
@@ -314,7 +341,7 @@ def identify(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str =
             got += tagger.tag(part)
             arrays = [batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.int64())]
             if spans:
-                arrays.append(pa.array([runs(g[3], model.value.labels) for g in got], kind))
+                arrays.append(pa.array([runs(g[3], labels) for g in got], kind))
             yield pa.RecordBatch.from_arrays(arrays, names=["id", "lang", "score", "n_words"] + ["spans"] * spans)
 
     schema = f"id {source.schema['id'].dataType.simpleString()}, lang string, score double, n_words bigint" + ", spans array<struct<first:bigint,words:bigint,lang:string>>" * spans

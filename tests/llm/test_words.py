@@ -21,3 +21,10 @@ def test_a_switch_inside_a_run_without_spaces():
     filler = a * 3
     (lang, _, n, labels) = tagger.tag([filler + b * 20 + filler])[0]
     assert lang == "th" and n > 10 and {crf.labels[i] for i in np.unique(labels)} >= {"th", "zh"}
+
+
+def test_only_letters_are_words():
+    assert langid.words_of("² ½ Ⅷ ①") == [] and langid.words_of("m² x½y 3rd") == ["m", "x", "y", "rd"]
+    assert langid.words_of("e\u0301te\u0301 हिन्दी ²日²本") == ["e\u0301te\u0301", "हिन्दी", "日", "本"]
+    crf = langid.fit([("en", "the day is nice " * 30), ("fr", "le jour est beau " * 30)])
+    assert [t[:3] for t in langid.Tagger(crf).tag(["² ½", "", None])] == [("und", 0.0, 0)] * 3
