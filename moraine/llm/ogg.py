@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+
 HEAD = "<4sBBqIIIB"
 HEAD_SIZE = struct.calcsize(HEAD)
 CONTINUED, FIRST, LAST = 1, 2, 4
@@ -50,7 +51,7 @@ class Stream:
     serial: int
     packets: list[Packet] = field(default_factory=list)
     ended: bool = False
-    lost: int = 0  # packets dropped as a page of theirs is damaged or missing
+    lost: int = 0  # gaps in the page sequence, and packets dropped as a part of theirs is missing: 0 if and only if nothing is
 
 
 def stream_pages(serial: int, packets: list[Packet]) -> list[tuple[int, bytes]]:
@@ -114,7 +115,7 @@ def demultiplex(data: bytes) -> dict[int, Stream]:
     for flags, granule, serial, sequence, lacing, body in read_pages(data):
         s = streams.setdefault(serial, Stream(serial))
         expected, parts = open_.get(serial, (0, None))
-        if sequence != expected and parts is not None:
+        if sequence != expected:
             s.lost, parts = s.lost + 1, None
         skipping = bool(flags & CONTINUED) and parts is None  # its begin is missing
         if not flags & CONTINUED and parts is not None:

@@ -7,8 +7,8 @@ Under that key a rule is the interval of keys that start with its own.  A url ha
 and swept once: the sweep keeps the stack of rules whose interval is open, all nested, and its top is the longest rule
 of that host that fits.  The longest rule over the ancestors wins; of equal lengths the one with the longer host, then block.
 
-A host that most urls share is split by salts (rules are repeated for each salt, a fixed factor), and equal urls are swept
-once.
+Only ancestors that have a rule are kept.  One that many urls share is split by salts, one for every ``PER_SALT`` of its urls as counted, and its rules
+are repeated for each; equal urls are swept once.
 
 Defined results: a null url, or one without ``://``, has empty host and path and meets no rule; no rule: the verdict is
 ``default``; rules with a null or empty host, or a null path, are ignored; of rules with the same host and path block wins;
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from moraine.llm._common import ascii_lower
 
-SALTS = 32
+PER_SALT = 20_000  # urls of an ancestor that are swept together, about
 
 
 def url_parts(url):
@@ -56,7 +56,7 @@ def _sweep(batches):
         yield pd.DataFrame(out, columns=["url", "rule", "action", "size", "depth"])
 
 
-def match_rules(urls: DataFrame, rules: DataFrame, salts: int = SALTS) -> DataFrame:
+def match_rules(urls: DataFrame, rules: DataFrame, per_salt: int = PER_SALT) -> DataFrame:
     """(url, host, path, rule, action) for each distinct url of column ``url``; rule and action are null where none fits.
 
     ``rules`` has columns host, path, action (allow or block).
@@ -66,24 +66,25 @@ def match_rules(urls: DataFrame, rules: DataFrame, salts: int = SALTS) -> DataFr
     labels = F.reverse(F.split("host", r"\.", -1))
     n = F.size(labels)
     ancestors = F.transform(F.sequence(F.lit(1), n), lambda k: F.array_join(F.slice(labels, 1, k), "."))
-    salt = F.pmod(F.xxhash64("url"), F.lit(salts)).cast("int")
-    keys = each.where("host <> ''").select("url", "path", salt.alias("salt"), F.explode(ancestors).alias("ancestor"))
     none = lambda t: F.lit(None).cast(t)
-    keys = keys.select("ancestor", "salt", F.concat("ancestor", F.lit("/"), "path").alias("key"), F.lit(True).alias("is_url"), "url", none("string").alias("rule"), none("string").alias("action"), none("int").alias("size"))
     rule_host = ascii_lower(F.col("host"))
     usable = rules.where("host IS NOT NULL AND host <> '' AND path IS NOT NULL AND action IN ('allow', 'block')")
     usable = usable.select(reversed_host(rule_host).alias("ancestor"), F.col("path"), F.concat(rule_host, "path").alias("rule"), "action", F.length(F.concat("host", "path")).alias("size"))
-    opened = usable.select("ancestor", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.concat("ancestor", F.lit("/"), "path").alias("key"), F.lit(False).alias("is_url"), none("string").alias("url"), "rule", "action", "size")
+    keys = each.where("host <> ''").select("url", "path", F.explode(ancestors).alias("ancestor")).join(usable.select("ancestor").distinct(), "ancestor", "left_semi")
+    salts = keys.groupBy("ancestor").agg(F.ceil(F.count("*") / per_salt).cast("int").alias("salts"))
+    salt = F.pmod(F.xxhash64("url"), F.col("salts")).cast("int")
+    keys = keys.join(salts, "ancestor").select("ancestor", salt.alias("salt"), F.concat("ancestor", F.lit("/"), "path").alias("key"), F.lit(True).alias("is_url"), "url", none("string").alias("rule"), none("string").alias("action"), none("int").alias("size"))
+    opened = usable.join(salts, "ancestor").select("ancestor", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.concat("ancestor", F.lit("/"), "path").alias("key"), F.lit(False).alias("is_url"), none("string").alias("url"), "rule", "action", "size")
     events = keys.unionByName(opened).repartition("ancestor", "salt").sortWithinPartitions("ancestor", "salt", "key", "is_url", F.col("action").desc(), "url")
     hits = events.mapInPandas(_sweep, "url string, rule string, action string, size int, depth int")
     best = hits.groupBy("url").agg(F.max_by(F.struct("rule", "action"), F.struct("size", "depth")).alias("best"))
     return each.join(best, "url", "left").select("url", "host", "path", F.col("best.rule").alias("rule"), F.col("best.action").alias("action"))
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", salts: int = SALTS) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", per_salt: int = PER_SALT) -> DataFrame:
     """One row per input row: id, url, host, path, rule, verdict."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
-    found = match_rules(rows, rules, salts).withColumnRenamed("url", "u")
+    found = match_rules(rows, rules, per_salt).withColumnRenamed("url", "u")
     joined = rows.join(found, F.col("url") == F.col("u"), "left")
     empty = lambda c: F.coalesce(c, F.lit(""))
     return joined.select("id", "url", empty("host").alias("host"), empty("path").alias("path"), "rule", F.coalesce("action", F.lit(default)).alias("verdict"))

@@ -6,8 +6,9 @@ has one, must equal the response's under weak comparison; else Last-Modified, if
 checked.  If they hold, the resolved record is the response with those headers of the 304 merged in that a cache may update
 (RFC 9111, 3.2): not the ones that describe the stored body or a hop.
 
-The as-of join needs no task that holds a URL's whole history: time is cut into chunks, each (url, chunk) is walked by
-itself, and the latest response of earlier chunks comes from one small row for each (url, chunk).
+The as-of join needs no task that holds a URL's whole history.  All captures of a URL at one instant become one row first, combined before the
+shuffle, with the response that counts as the latest there; time is cut into chunks, the instants of each (url, chunk) are walked by
+themselves, and the latest response of earlier chunks comes from one small row for each (url, chunk).  Revisits then meet their instant.
 
 Defined results: of responses at one time the larger record id counts as later, a revisit at that time doesn't see them; a null
 or empty URL, or a null time, resolves to nothing (status ``no-url`` or ``no-time``); without an earlier response the status is
@@ -18,6 +19,7 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 from base64 import b32encode
 from datetime import datetime, timedelta, timezone
 
@@ -35,6 +37,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
 CHUNK_SECONDS = 86_400
 RECORD = "record_id string, type string, url string, time timestamp, status int, headers map<string,string>, digest string, body_bytes bigint"
 EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
+SPAN = 8_000_000  # pages whose times differ: beyond it they begin anew
+DATE = re.compile(r"(\d{4})(?:-(\d\d)(?:-(\d\d)(?:T(\d\d):(\d\d)(?::(\d\d)(?:\.(\d{1,9}))?)?Z)?)?)?")
 
 
 def canonical_url(url):
@@ -61,8 +65,9 @@ def write_record(record_id: str, kind: str, url: str, time: datetime, status: in
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode("utf-8", "surrogatepass") + b"\r\n" + block + b"\r\n\r\n"
 
 
-def _fields(lines: list[bytes]) -> dict[str, str]:
-    """Header fields by lower-cased name; a line that begins with a blank goes on with the one before; the last of equal names stays."""
+def _fields(lines: list[bytes], joined: bool = False) -> dict[str, str]:
+    """Header fields by lower-cased name; a line that begins with a blank goes on with the one before; of equal names the last stays, or with
+    ``joined`` their values are one list (RFC 9110, 5.3), but for Set-Cookie, whose values hold commas."""
     out, last = {}, None
     for line in lines:
         text = line.decode("utf-8", "replace")
@@ -71,10 +76,23 @@ def _fields(lines: list[bytes]) -> dict[str, str]:
         elif ":" in text:
             name, value = text.split(":", 1)
             last = name.strip().lower()
-            out[last] = value.strip()
+            old = f"{out[last]}, " if joined and last in out and last != "set-cookie" else ""
+            out[last] = old + value.strip()
     return out
 
 
+def warc_date(text: str) -> datetime | None:
+    """A WARC-Date: UTC, of any precision from years to fractions of a second, of which microseconds are kept; None if it isn't one."""
+    m = DATE.fullmatch(text)
+    if not m:
+        return None
+    year, month, day, hour, minute, second = (int(x) if x else low for x, low in zip(m.groups()[:6], (0, 1, 1, 0, 0, 0)))
+    try:
+        return datetime(year, month, day, hour, minute, second, int((m[7] or "").ljust(6, "0")[:6]), timezone.utc)
+    except ValueError:
+        return None
+
+
 def read_records(data: bytes):
     """Yields a dict of RECORD's fields (and ``body``) for each record; stops at the first bytes that are none."""
     at = 0
@@ -93,17 +111,13 @@ def read_records(data: bytes):
         http, _, body = block.partition(b"\r\n\r\n")
         lines = http.split(b"\r\n")
         first = lines[0].split()
-        try:
-            time = datetime.strptime(head.get("warc-date", ""), "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=timezone.utc)
-        except ValueError:
-            time = None
         yield {
             "record_id": head.get("warc-record-id", "").strip("<>"),
             "type": head.get("warc-type"),
             "url": head.get("warc-target-uri"),
-            "time": time,
+            "time": warc_date(head.get("warc-date", "")),
             "status": int(first[1]) if len(first) > 1 and first[0].startswith(b"HTTP/") and first[1].isdigit() else None,
-            "headers": _fields(lines[1:]),
+            "headers": _fields(lines[1:], joined=True),
             "digest": head.get("warc-payload-digest"),
             "body_bytes": len(body),
             "body": body,
@@ -113,21 +127,22 @@ def read_records(data: bytes):
 def capture_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(warc): each page as the bytes of two records, a full response and a later not-modified revisit.
 
-    Null urls and pages are written as empty ones.  Of seven revisits one asks with a validator of another version, one with none.
+    Null urls and pages are written as empty ones, null ids as ``null``.  Of seven revisits one asks with a validator of another version, one with none.
     """
-    source = pages.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-1)).alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    source = pages.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
 
     def kernel(batches):
         for batch in batches:
             out = []
-            for i, url, html in zip(*(c.to_pylist() for c in batch.columns)):
+            for page, url, html in zip(*(c.to_pylist() for c in batch.columns)):
+                i, name = page or 0, "null" if page is None else f"{page:012d}"
                 body = html.encode("utf-8", "surrogatepass")
-                tag, seen = hashlib.sha256(body).hexdigest()[:16], EPOCH + timedelta(seconds=37 * i)
+                tag, seen = hashlib.sha256(body).hexdigest()[:16], EPOCH + timedelta(seconds=37 * (i % SPAN))
                 full = {"Date": f"day {i // 1000}", "ETag": f'"{tag}"', "Content-Type": "text/html; charset=utf-8", "Content-Length": str(len(body)), "Cache-Control": "max-age=60"}
                 asks = {"Date": f"day {i // 1000 + 1}", "Cache-Control": "max-age=600", "Content-Length": "0", "Content-Type": "text/plain", "X-Cache": "HIT"}
                 if i % 7 != 6:
                     asks["ETag"] = f'W/"{tag}"' if i % 7 != 5 else '"other"'
-                out.append(write_record(f"urn:moraine:{i:012d}:full", "response", url, seen, 200, full, body) + write_record(f"urn:moraine:{i:012d}:visit", "revisit", url, seen + timedelta(days=2), 304, asks, b""))
+                out.append(write_record(f"urn:moraine:{name}:full", "response", url, seen, 200, full, body) + write_record(f"urn:moraine:{name}:visit", "revisit", url, seen + timedelta(days=2), 304, asks, b""))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["warc"])
 
     return source.mapInArrow(kernel, "warc binary")
@@ -156,13 +171,16 @@ def resolve_revisits(records: DataFrame, chunk_seconds: int = CHUNK_SECONDS) ->
     full = (F.col("type") == "response") & (F.col("status") == 200)
     kept = rows.where(usable & (full | (F.col("type") == "revisit"))).withColumn("full", full).withColumn("chunk", F.floor(F.col("at") / (chunk_seconds * 1_000_000)))
     one = F.when(F.col("full"), F.struct("at", "record_id", "digest", "body_bytes", "headers"))
-    order = Window.partitionBy("canonical", "chunk").orderBy("at", "full", "record_id").rowsBetween(Window.unboundedPreceding, 0)
-    near = kept.withColumn("near", F.last(one, ignorenulls=True).over(order)).where("NOT full")
-    # the last response of each chunk, then of the chunks before it; a map can't be compared, so max_by over a key that can
-    ends = kept.groupBy("canonical", "chunk").agg(F.max_by(one, F.when(F.col("full"), F.struct("at", "record_id"))).alias("end"))
+    # a map can't be compared, so max_by over a key that can
+    instants = kept.groupBy("canonical", "chunk", "at").agg(F.max_by(one, F.when(F.col("full"), F.coalesce("record_id", F.lit("")))).alias("one"), F.bool_or(~F.col("full")).alias("asked"))
+    earlier = Window.partitionBy("canonical", "chunk").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    near = instants.withColumn("near", F.last("one", ignorenulls=True).over(earlier)).where("asked").select("canonical", "chunk", "at", "near")
+    # the last response of each chunk, then of the chunks before it
+    ends = kept.groupBy("canonical", "chunk").agg(F.max_by(one, F.when(F.col("full"), F.struct("at", F.coalesce("record_id", F.lit(""))))).alias("end"))
     before = Window.partitionBy("canonical").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.withColumn("far", F.last("end", ignorenulls=True).over(before)).where("far IS NOT NULL").select(F.col("canonical").alias("c"), F.col("chunk").alias("k"), "far")
-    met = near.join(carried, (F.col("canonical") == F.col("c")) & (F.col("chunk") == F.col("k")), "left").withColumn("found", F.coalesce("near", "far"))
+    carried = ends.withColumn("far", F.last("end", ignorenulls=True).over(before)).where("far IS NOT NULL").select("canonical", "chunk", "far")
+    latest = near.join(carried, ["canonical", "chunk"], "left").select("canonical", "at", F.coalesce("near", "far").alias("found"))
+    met = kept.where("NOT full").join(latest, ["canonical", "at"])
     lost = rows.where(~F.coalesce(usable, F.lit(False)) & (F.col("type") == "revisit")).withColumn("found", F.lit(None).cast(met.schema["found"].dataType))
     cols = ["record_id", "url", "canonical", "time", "at", "headers", "found"]
     every = met.select(cols).unionByName(lost.select(cols))

@@ -55,6 +55,30 @@ def test_ogg_damage():
     assert ogg.demultiplex(b"") == {}
 
 
+def test_a_missing_page_is_noticed():
+    """Also if the pages around it begin and end with whole packets."""
+    packets = [ogg.Packet(bytes([i % 251]) * 10, i) for i in range(800)]
+    pages = [page for _, page in ogg.stream_pages(7, packets)]
+    assert len(pages) > 3
+    for i in range(len(pages)):
+        got = ogg.demultiplex(b"".join(p for j, p in enumerate(pages) if j != i))[7]
+        assert got.lost > 0 or (i == len(pages) - 1 and not got.ended)
+
+
+def test_media_query(spark, sf_dir):
+    rows = {r.doc_id: r for r in catalog.op5_ogg_media(spark, sf_dir).collect()}
+    docs = catalog.table(spark, sf_dir, "documents").select("doc_id", "text").collect()
+    assert len(rows) == len(docs)
+    for d in docs:
+        raw, r = (d.text or "").encode(), rows[d.doc_id]
+        payload = raw + bytes(max(1, -(-len(raw) // 64)) * 64 - len(raw))
+        data = ogg.store(payload)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        # the payload stands in the stored bytes, page heads aside
+        samples = b"".join(body for *_, body in (p for p in ogg.read_pages(data) if p[2] == zlib.crc32(payload)))
+        assert samples.endswith(payload) and (r.media_bytes, r.media_sha256) == (len(data), hashlib.sha256(data).hexdigest()) and r.feature
+
+
 def test_media_rows(odd_docs, no_docs):
     rows = ogg.media_columns(odd_docs).collect()
     assert len(rows) == 11 and ogg.media_columns(no_docs).count() == 0
@@ -129,6 +153,26 @@ def test_warc_bytes(spark):
     assert warc.parse_warc(spark.createDataFrame([(None,), (bytearray(b"x"),)], "warc binary")).count() == 0
 
 
+def test_warc_dates_ids_and_repeated_headers(spark):
+    day = lambda *a: datetime(*a, tzinfo=timezone.utc)
+    for text, want in (("2024-05-06T07:08:09.25Z", day(2024, 5, 6, 7, 8, 9, 250_000)), ("2024-05-06T07:08:09.123456789Z", day(2024, 5, 6, 7, 8, 9, 123_456)), ("2024-05-06T07:08Z", day(2024, 5, 6, 7, 8)), ("2024-05", day(2024, 5, 1)), ("2024-13-01", None), ("", None), ("2024-05-06T07:08:09", None)):
+        assert warc.warc_date(text) == want, text
+    assert warc._fields([b"Vary: a", b"vary: b", b"Set-Cookie: c", b"Set-Cookie: d"], joined=True) == {"vary": "a, b", "set-cookie": "d"}
+    pages = spark.createDataFrame([(9_000_000_000, "http://a.org/1", "x"), (-1, "http://a.org/2", "y"), (None, "http://a.org/3", "z"), (2**63 - 1, "http://a.org/4", "")], "page_id bigint, url string, html string")
+    got = {x.canonical[-1]: x for x in warc.resolve_revisits(warc.parse_warc(warc.capture_pages(pages))).collect()}
+    assert [got[k].record_id.split(":")[2] for k in "1234"] == ["009000000000", "-00000000001", "null", str(2**63 - 1)]
+
+
+def test_revisit_query(spark, sf_dir):
+    """Every page's revisit against the plain version, and its page's id."""
+    rows = [r.asDict() for r in warc.parse_warc(warc.capture_pages(catalog.table(spark, sf_dir, "pages"))).withColumn("canonical", warc.canonical_url(F.col("url"))).collect()]
+    want = {k: v for k, v in plain_resolve([r for r in rows if r["canonical"]]).items()}
+    got = {x.record_id: x for x in catalog.op6_warc_revisits(spark, sf_dir).collect()}
+    assert len(got) == catalog.table(spark, sf_dir, "pages").count()
+    assert {k: (got[k].outcome, got[k].response_id) for k in want} == want
+    assert all(int(k.split(":")[2]) == x.page_id for k, x in got.items())
+
+
 def water(sizes, weights=(1, 2, 3), limit=3):
     """Targets by sharing again and again."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
@@ -201,14 +245,14 @@ def plain_rule(url, rules):
     return (host, path, *(max(fits)[3:] if fits else (None, None)))
 
 
-@pytest.mark.parametrize("salts", [1, 5])
-def test_url_rules_against_brute_force(spark, salts):
+@pytest.mark.parametrize("per_salt", [3, 10**6])
+def test_url_rules_against_brute_force(spark, per_salt):
     r = random.Random(3)
     labels, paths = ["a", "b", "com", "x-y", ""], ["", "/", "/a", "/a/", "/ab", "/a/b/c", "/é"]
     rules = [(".".join(r.choice(labels) for _ in range(r.randrange(1, 4))), r.choice(paths), r.choice(["block", "allow"])) for _ in range(60)] + [(None, "/", "block"), ("a", None, "block"), ("", "", "block")]
     urls = [f"{r.choice(['http', 'S'])}://{'.'.join(r.choice(labels + ['A']) for _ in range(r.randrange(1, 5)))}{r.choice(paths)}{r.choice(['', '?q://z', '#f', '/more'])}" for _ in range(300)] + [None, "", "no scheme", "://", "http://", "a://b://c/d"]
     df = spark.createDataFrame([(i, u, "k", "h") for i, u in enumerate(urls)], "page_id bigint, url string, key string, host string")
-    out = urlfilter.judge_urls(df, spark.createDataFrame(rules, "host string, path string, action string"), salts=salts)
+    out = urlfilter.judge_urls(df, spark.createDataFrame(rules, "host string, path string, action string"), per_salt=per_salt)
     got = {x.id: (x.host, x.path, x.rule, x.verdict) for x in out.collect()}
     for i, u in enumerate(urls):
         host, path, rule, action = plain_rule(u, rules)
