@@ -111,6 +111,8 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text
     """The rows of ``docs`` without any exact match, all columns unchanged."""
     scratch = Scratch(docs.sparkSession, "decontaminate")
     matches, _ = find_matches(docs, items, text_col, item_id_col, item_text_col, width, scratch=scratch)
-    bad = scratch.keep(matches.where("kind = 'exact'").select(F.col("key").alias("_bad_key")).distinct())
+    bad = scratch.keep(matches.where("kind = 'exact'").select("key").distinct())
     scratch.only(bad)
-    return docs.join(bad, text_key(docs[text_col]) == F.col("_bad_key"), "left_anti")
+    # the row travels as one column, so that no name can clash
+    rows = docs.select(text_key(docs[text_col]).alias("key"), F.struct(*docs.columns).alias("row"))
+    return rows.join(bad, "key", "left_anti").select("row.*")

@@ -151,3 +151,34 @@ def test_notices(spark):
     assert [x[:2] for x in got[1]] == [(label, 0)] and [x[:2] for x in got[2]] == [(label, 0)]
     assert got[3] == [] and got[4] == []
     assert [x[0] for x in got[5]] == [label, label]
+
+
+def test_a_stray_hit_does_not_split_a_notice(spark, tmp_path):
+    """Words of the notice that stand again inside it vote for another diagonal."""
+    import duckdb
+
+    notice, label = licenses.NOTICES[0]
+    w = notice.split()
+    df = spark.createDataFrame([(0, " ".join(w[:12] + w[1:7] + w[18:])), (1, " ".join(w[:12] + w[1:7]))], "doc_id bigint, text string")
+    got = {r.id: [(s.label, s.first, s.last) for s in r.spans] for r in licenses.scan_licenses(df).collect()}
+    assert got == {0: [(label, 0, len(w) - 1)], 1: []}
+    df.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    same_rows(catalog.op9_license_scan(spark, str(tmp_path)), con, catalog.OP9_SQL)
+
+
+def test_templates_are_a_parameter(spark, monkeypatch):
+    templates = spark.createDataFrame([("Do what you want", "free", True), ("Do what you want", "free", True), ("one two three four five six", "count", False), ("too short", "none", False), (None, "x", True), ("a b", None, True)], "text string, label string, is_base boolean")
+    docs = spark.createDataFrame([(0, "x do what YOU want y one two three four five"), (1, "one two")], "doc_id bigint, text string")
+    for bound in (licenses.BROADCAST, 0):
+        monkeypatch.setattr(licenses, "BROADCAST", bound)
+        got = {r.id: sorted((s.label, s.first, s.last, round(s.share, 2)) for s in r.spans) for r in licenses.scan_licenses(docs, templates=templates).collect()}
+        assert got == {0: [("count", 6, 10, 0.83), ("free", 1, 4, 1.0)], 1: []}
+
+
+def test_clashing_columns_in_the_stage(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x", 2), (2, "d e", "y", 3)], "doc_id bigint, text string, key string, _bad_key int")
+    items = spark.createDataFrame([(1, "a b c")], "item_id bigint, text string")
+    out = decontaminate.remove_contaminated(docs, items)
+    assert out.columns == docs.columns and [tuple(r) for r in out.collect()] == [(2, "d e", "y", 3)]
