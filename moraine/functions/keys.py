@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+CASTAGNOLI = 0x82F63B78  # the polynomial of CRC-32C, reflected
 _LATIN = "".join(map(chr, range(256)))
 
 
@@ -59,7 +60,7 @@ def common_prefix(a: Column, b: Column) -> Column:
     same = lambda i: F.substring(a, i, F.lit(1)) == F.substring(b, i, F.lit(1))
     # one character after another, as long as they agree
     longest = F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda length, i: F.when((length == i - 1) & same(i), i).otherwise(length))
-    return F.when(n > 0, longest).otherwise(F.when(n == 0, 0)).cast("bigint")
+    return F.when(a.isNotNull() & b.isNotNull(), F.when(n > 0, longest).otherwise(0)).cast("bigint")
 
 
 def rebuild_key(first: Column, prefix: Column, suffix: Column) -> Column:
@@ -76,8 +77,19 @@ def bytes_to_long(b: Column) -> Column:
     return F.conv(F.hex(b), 16, -10).cast("bigint")
 
 
+def _castagnoli(byte: int) -> int:
+    for _ in range(8):
+        byte = byte >> 1 ^ (CASTAGNOLI if byte & 1 else 0)
+    return byte
+
+
 def key_checksum(key: Column) -> Column:
-    return F.crc32(key)
+    """CRC-32C of a key, unsigned."""
+    table = F.array(*[F.lit(_castagnoli(b)).cast("bigint") for b in range(256)])
+    codes = F.transform(F.sequence(F.lit(1), F.octet_length(key)), lambda i: F.conv(F.hex(F.substring(key, i, F.lit(1))), 16, 10).cast("bigint"))
+    all_ones = F.lit(0xFFFFFFFF).cast("bigint")
+    step = lambda crc, b: F.shiftrightunsigned(crc, 8).bitwiseXOR(F.get(table, crc.bitwiseXOR(b).bitwiseAND(F.lit(255)).cast("int")))
+    return F.when(F.octet_length(key) == 0, F.lit(0).cast("bigint")).otherwise(F.aggregate(codes, all_ones, step).bitwiseXOR(all_ones))
 
 
 def preview(b: Column) -> Column:

@@ -131,6 +131,13 @@ def seek_histogram(spark, sf_dir):
     return lookup.seek_histogram(lookup.seeks(probes(spark, sf_dir), entries(spark, sf_dir), run_records(spark, sf_dir), "k"))
 
 
+def derived_stats(spark, sf_dir):
+    """All lookups of the probes, and the hits that opened no run."""
+    found, opened = search_stats(spark, sf_dir), seek_histogram(spark, sf_dir)
+    hist = opened.agg(F.map_from_entries(F.collect_list(F.struct("seeks", "n"))).alias("hist"))  # an entry for each number of seeks: the number of runs at most
+    return lookup.derived_stats(found.join(hist))
+
+
 def runs_with_key(spark, sf_dir):
     return lookup.runs_with_key(probes(spark, sf_dir), entries(spark, sf_dir), "k")
 
@@ -229,7 +236,7 @@ def codec_roundtrip(spark, sf_dir):
 
 
 _NAMES = """latest_snapshot run_merge log_replay flush_runs run_order_check run_scan run_manifest sparse_index cluster_locate cluster_lcp multi_get
-search_stats range_prune seek_histogram runs_with_key overlap_pairs compaction_trigger level_capacity compaction_pick compact_gc manifest_swap
+search_stats range_prune seek_histogram derived_stats runs_with_key overlap_pairs compaction_trigger level_capacity compaction_pick compact_gc manifest_swap
 combined_range next_file_seq avg_entries memtable_bytes unit_size signed_order file_name_parse codec_roundtrip level_check split_files""".split()
 
 
@@ -276,6 +283,7 @@ _SQL = {
     "search_stats": "SELECT COUNT(t.k) AS ok, COUNT(*)-COUNT(t.k) AS miss FROM q LEFT JOIN top t ON t.k=q.k",
     "range_prune": "SELECT q.k, COUNT(*) AS candidates FROM q JOIN man ON q.k BETWEEN lo AND hi GROUP BY q.k",
     "seek_histogram": "SELECT seeks, COUNT(*) AS n FROM (SELECT c.k, MIN(c.seeks) AS seeks FROM (SELECT q.k, file_seq, ROW_NUMBER() OVER (PARTITION BY q.k ORDER BY level, file_seq DESC) AS seeks FROM q JOIN man ON q.k BETWEEN lo AND hi) c JOIN r ON r.k=c.k AND r.file_seq=c.file_seq GROUP BY c.k) GROUP BY seeks",
+    "derived_stats": "SELECT ok+miss AS total, ok-opened AS from_cache FROM (SELECT COUNT(t.k) AS ok, COUNT(*)-COUNT(t.k) AS miss FROM q LEFT JOIN top t ON t.k=q.k), (SELECT COUNT(DISTINCT q.k) AS opened FROM q JOIN r ON r.k=q.k)",
     "runs_with_key": "SELECT q.k, r.file_seq FROM q JOIN r ON r.k=q.k WHERE r.level>=0",
     "overlap_pairs": "SELECT a.file_seq AS a, b.file_seq AS b, a.lo<=b.lo AND a.hi>=b.hi AS a_contains_b FROM man a JOIN man b ON a.file_seq<b.file_seq AND a.lo<=b.hi AND a.hi>=b.lo",
     "compaction_trigger": "SELECT level, n_runs, capacity, n_runs>capacity AS due FROM (SELECT level, COUNT(*) AS n_runs, CAST(FLOOR(POWER(10, level+1)/(3*(level+1))) AS BIGINT) AS capacity FROM man GROUP BY level)",

@@ -341,12 +341,16 @@ class Store:
     def tail_bytes(self) -> int:
         return sum(b.bytes for b in self.manifest.tail)
 
+    def is_full(self) -> bool:
+        """Whether the tail has reached ``flush_bytes``."""
+        return self.tail_bytes() >= self.options.flush_bytes
+
     def maybe_flush(self) -> bool:
         """Flushes if the tail has reached ``flush_bytes``, then compacts what is due.  A writer waits for both: the log can't outgrow them."""
-        if self.tail_bytes() < self.options.flush_bytes:
+        if not self.is_full():
             return False
         with self._upkeep:
-            if self.tail_bytes() < self.options.flush_bytes:  # another thread has done it
+            if not self.is_full():  # another thread has done it
                 return False
             self.flush()
             self.maybe_compact()

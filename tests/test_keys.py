@@ -42,3 +42,16 @@ def test_prefixes_and_numbers(spark):
     df = spark.createDataFrame([(n,) for n in ns], "n bigint")
     assert [bytes(r[0]) for r in df.select(K.long_to_bytes(F.col("n"))).collect()] == [n.to_bytes(8, "big", signed=True) for n in ns]
     assert [r[0] for r in df.select(K.bytes_to_long(K.long_to_bytes(F.col("n")))).collect()] == ns
+
+
+def test_checksums_and_previews(spark):
+    df = spark.createDataFrame([(bytearray(b"123456789"),), (bytearray(b""),), (None,), (bytearray(32),), (bytearray(b"\xff" * 32),)], "k binary")
+    # fixed values: published check values of CRC-32C
+    assert [r[0] for r in df.select(K.key_checksum(F.col("k"))).collect()] == [0xE3069283, 0, None, 0x8A9136AA, 0x62A8AB43]
+    df = spark.createDataFrame([(bytearray(b"0123456789"),), (bytearray(b"0123456789a"),), (bytearray(b""),)], "k binary")
+    assert [r[0] for r in df.select(K.preview(F.col("k"))).collect()] == ["30313233343536373839", "30313233343536373839...", ""]
+
+
+def test_common_prefix_of_binaries_and_nulls(spark):
+    df = spark.createDataFrame([(bytearray(b"\x00\xffa"), bytearray(b"\x00\xffb")), (None, bytearray(b"a")), (bytearray(b""), bytearray(b"")), (bytearray(b"x"), bytearray(b"y"))], "a binary, b binary")
+    assert [r[0] for r in df.select(K.common_prefix(F.col("a"), F.col("b"))).collect()] == [2, None, 0, 0]
