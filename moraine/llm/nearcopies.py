@@ -1,26 +1,35 @@
-"""Near copies: texts whose sets of word shingles have a Jaccard similarity of 0.8 or more.  Every such pair is found, and no other linked.
-
-Shingles
-    As in ``simhash``: words are cut at white space, A-Z lower-cased, each run of ``words`` words hashed by XXH64; fewer words are one shingle.
-    Texts of one set of shingles are one node, so exact copies cost nothing.
-Candidates
-    Prefix filter, which is pigeonhole: with all sets in one order of shingles, two sets of n and m shingles that are similar have a shingle in common
-    among the first n - ceil(0.8 n) + 1 and m - ceil(0.8 m) + 1.  Sets meet on those.  Any order finds all pairs; the order taken puts shingles
-    that are frequent in a sample of the texts last, so that boilerplate seldom is a key.  Pairs whose sizes, or places of the shingle, leave too few others
-    to be shared are no candidates.
+"""SimHash near-dedup with wide fingerprints: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+The method is that of ``simhash``: blocks of a fingerprint are keys, texts meet on keys, the Hamming distance is verified.  Here the fingerprint is
+wider, as 64 bits can't tell a similarity of 0.8, and each link is verified by the texts' shingles as well, so no pair below 0.8 is linked.
+
+Nodes
+    Words are cut at white space, A-Z lower-cased.  Texts of one set of shingles (runs of ``words`` words; fewer words: all of them) are one node, so
+    copies cost nothing.
+Fingerprint
+    ``BITS`` bits over the distinct two-word runs of a node, which a changed word touches less often than longer runs; a bit is set if it is in over half.
+Keys
+    The bits are cut into blocks of 16; each choice of two is a key of 32 bits, more than the logarithm of a corpus of billions, so
+    that keys don't fill with unrelated texts as it grows.  Pigeonhole: a pair within ``BLOCKS`` - 2 bits shares a key for certain.  A pair of similarity
+    0.8, some 35 bits apart, shares one of the 276 with a probability of about 0.95; the README has the recall measured.
 Verification
-    The sets of both texts are intersected.
-Hot shingles
-    Members of a shingle that more than ``HOT`` sets share are first compared with its smallest node only, for ``ROUNDS`` rounds; a shingle whose members
-    are all connected by then is done, as of near copies of one text.  The members of what is left are gathered with their sets, and only links that
-    connect what isn't connected yet are emitted; shingles of the same members are one.
-    Of those, shingles of up to ``LOOSE`` members with hardly a link among them are joined like the others instead, which moves no sets.  A shingle of more than ``CHUNK`` members is dealt in chunks, a task for each pair of them.
-
-Defined results: null and empty texts have no shingles and are one node; repeated rows stay repeated.
+    Pairs within a quarter of the bits, then those whose sets, gathered once for the nodes that share keys, are similar.
+Hot keys
+    No key is joined with itself unless few of its members are still apart.  First each node is paired with one leader: of those who lead a key
+    of its own, the one that shares the most keys with others, as the text that a group's copies were made of does.  ``ROUNDS`` such rounds,
+    each with leaders not tried yet; a key whose members are connected by then is done.  The others fall into families, which pairs
+    within ``FAR`` bits of their leader connect; the sets of each family that isn't connected are gathered, once each, in chunks of ``CHUNK``, a task for
+    each pair of chunks, where only links that connect what isn't connected yet are emitted.  What keys share across families is joined if they have up to
+    ``HOT`` members, else gathered in the same way.  So all similar nodes of a key end up connected, and no pairs are multiplied out.
+
+Defined results: null and empty texts have no shingles and are one node; repeated rows stay repeated; ties go to the larger node number; an empty table
+gives an empty result; other columns of the input are ignored, whatever their names.  Shingles, runs and nodes are 64-bit hashes.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -28,92 +37,103 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moraine.llm._common import ASCII_LOWER, Scratch, connected_components
-
-WORDS, SEED = 5, 42
-HOT, ROUNDS = 32, 2
-LOOSE = 512
-CHUNK = 1 << 13  # members of a hot shingle that are gathered together, twice as many at most
-SAMPLE, COMMON = 16, 100_000  # one of so many sets is counted for the order; frequent shingles kept of them
-
-
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """The distinct shingle hashes of a text, sorted."""
-    tokens = (text or "").encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split()
-    if not tokens:
-        return np.empty(0, np.uint64)
-    line, digest = b" ".join(tokens), xxhash.xxh64_intdigest
-    ends = np.cumsum(np.fromiter((len(t) + 1 for t in tokens), np.int64, len(tokens)))
-    n = max(1, len(tokens) - words + 1)
-    begin, end = [0, *ends[: n - 1].tolist()], (ends[min(words, len(tokens)) - 1 :][:n] - 1).tolist()
-    return np.unique(np.fromiter((digest(line[s:e], SEED) for s, e in zip(begin, end)), np.uint64, n))
-
-
-def node_of(got: np.ndarray) -> int:
+from moraine.llm.words import Hasher, each_word, mix, word_places
+
+WORDS, FEATURE = 5, 2
+LANES = 6  # 64-bit numbers of a fingerprint
+BITS = 64 * LANES
+BLOCKS = BITS // 16
+FAR = BITS // 4  # bits that candidates may differ in
+HOT, ROUNDS = 8, 2
+CHUNK = 1 << 13  # members of a family or hot key that are gathered together, twice as many at most
+SPREAD = 4096  # fingerprints whose keys one task makes
+PIECE = 1 << 20  # bytes of texts cut into words at a time, a text more at most
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_LANE = np.random.default_rng(20240501).integers(1, 1 << 63, (2, LANES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def runs_of(words: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each k neighbouring words, from the words' hashes."""
+    if not k:
+        return words
+    n = max(0, len(words) - k + 1)
+    out = words[:n]
+    for i in range(1, k):
+        out = out * _STEP + words[i : i + n]
+    return mix(out * _STEP + np.uint64(k))
+
+
+def features(texts: list[str | None], words: int, hasher: Hasher):
+    """(distinct shingles, distinct two-word runs) of each text, sorted."""
+    at = 0
+    while at < len(texts):
+        parts, size = [], 0
+        while at < len(texts) and size < PIECE:
+            parts.append((texts[at] or "").encode("utf-8", "surrogatepass").translate(ASCII_LOWER))
+            size += len(parts[-1]) + 1
+            at += 1
+        start, end = word_places(buf := np.frombuffer(b"\n".join(parts), np.uint8))
+        bounds = np.searchsorted(start, np.cumsum([0, *(len(p) + 1 for p in parts)]))
+        one = each_word(buf, start, end, 0, hasher)
+        long, short = runs_of(one, words), runs_of(one, FEATURE)
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            yield tuple(np.unique(runs_of(one[a:b], b - a) if b - a < k else every[a : b - k + 1]) for k, every in ((words, long), (FEATURE, short)))
+
+
+def fingerprint(runs: np.ndarray) -> np.ndarray:
+    """The LANES numbers of a fingerprint."""
+    counts = np.zeros(BITS, np.int64)
+    for a in range(0, len(runs), 1 << 14):
+        h = mix(runs[a : a + (1 << 14), None] * _LANE[0] + _LANE[1])
+        counts += np.unpackbits(h.view(np.uint8), axis=1).sum(axis=0, dtype=np.int32)
+    return np.packbits(counts * 2 > len(runs)).view(np.uint64)
+
+
+def node_of(shingles: np.ndarray) -> int:
     """The number of a set, signed."""
-    return int(np.uint64(xxhash.xxh64_intdigest(got.tobytes(), SEED + 1)).astype(np.int64))
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes())).astype(np.int64))
 
 
-def prefix_size(n):
-    return n - (4 * n + 4) // 5 + 1
+_LANES = [f"f{i}" for i in range(LANES)]
 
 
 def with_nodes(docs: DataFrame, keep: list[str], text_col: str, words: int) -> DataFrame:
-    """The columns ``keep``, and node and n, the number of shingles."""
+    """The columns ``keep``, node, and the lanes of its fingerprint."""
     source = docs.select(*keep, F.col(text_col).alias("text"))
 
     def kernel(batches):
+        hasher = Hasher()
         for batch in batches:
-            got = [shingles(t.as_py(), words) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([node_of(g) for g in got], pa.int64()), pa.array([len(g) for g in got], pa.int32())], names=[*keep, "node", "n"])
+            nodes, prints = [], []
+            for shingles, runs in features(batch.column("text").to_pylist(), words, hasher):
+                nodes.append(node_of(shingles))
+                prints.append(fingerprint(runs))
+            prints = np.array(prints, np.uint64).reshape(-1, LANES).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(nodes, pa.int64()), *(pa.array(prints[:, i]) for i in range(LANES))], names=[*keep, "node", *_LANES])
 
     fields = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
-    return source.mapInArrow(kernel, f"{fields}, node bigint, n int")
-
+    return source.mapInArrow(kernel, f"{fields}, node bigint, " + ", ".join(f"{c} bigint" for c in _LANES))
 
-def frequent(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several sets of a sample hold, sorted, and how many do: COMMON at most."""
 
-    def kernel(batches):
-        for batch in batches:
-            for t in batch.column(0):
-                got = shingles(t.as_py(), words)
-                if node_of(got) % SAMPLE == 0:
-                    yield pa.RecordBatch.from_arrays([pa.array(got.view(np.int64))], names=["shingle"])
+def block_keys(prints: np.ndarray) -> np.ndarray:
+    """The keys of fingerprints (n by LANES, uint64): n rows, a column for each choice of two blocks."""
+    blocks = prints.view(np.uint16).reshape(len(prints), BLOCKS).astype(np.int64)
+    i, j = np.triu_indices(BLOCKS, 1)
+    return np.arange(len(i)) << 32 | blocks[:, i] << 16 | blocks[:, j]
 
-    counted = docs.select(text_col).mapInArrow(kernel, "shingle bigint").groupBy("shingle").agg(F.count("*").alias("times")).where("times > 2")
-    rows = counted.orderBy(F.desc("times"), "shingle").limit(COMMON).collect()
-    got = sorted((r["shingle"] % (1 << 64), r["times"]) for r in rows)
-    return np.array([g[0] for g in got], np.uint64), np.array([g[1] for g in got], np.int64)
 
-
-def in_order(got: np.ndarray, known: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """A set in the order that all sets share: the frequent last."""
-    if not len(known):
-        return got
-    at = np.minimum(np.searchsorted(known, got), len(known) - 1)
-    return got[np.argsort(np.where(known[at] == got, times[at], 0), kind="stable")]
-
-
-def prefixes(docs: DataFrame, text_col: str, words: int) -> DataFrame:
-    """(shingle, node, n, pos) of the shingles by which each set can be met."""
-    order = docs.sparkSession.sparkContext.broadcast(frequent(docs, text_col, words))
+def keys(prints: DataFrame, count: int) -> DataFrame:
+    """(key, node): a row for each key of each node."""
+    spread = prints.select("node", *_LANES).repartition(max(1, -(-count // SPREAD)), "node")
 
     def kernel(batches):
         for batch in batches:
-            for t in batch.column(0):
-                got = shingles(t.as_py(), words)
-                n = len(got)
-                if n:
-                    first = in_order(got, *order.value)[: prefix_size(n)]
-                    k = len(first)
-                    yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(np.full(k, node_of(got), np.int64)), pa.array(np.full(k, n, np.int32)), pa.array(np.arange(k, dtype=np.int32))], names=["shingle", "node", "n", "pos"])
-
-    return docs.select(text_col).mapInArrow(kernel, "shingle bigint, node bigint, n int, pos int")
+            node, lanes = batch.column(0).to_numpy(), np.stack([batch.column(c).to_numpy() for c in _LANES], axis=1).view(np.uint64)
+            for a in range(0, len(node), 256):
+                got = block_keys(np.ascontiguousarray(lanes[a : a + 256]))
+                yield pa.RecordBatch.from_arrays([pa.array(got.ravel()), pa.array(np.repeat(node[a : a + 256], got.shape[1]))], names=["key", "node"])
 
-
-def _possible(n, m, p, q):
-    """Whether sets of n and m shingles whose first common ones stand at p and q can be similar."""
-    return 9 * F.least(n - p, m - q) >= 4 * (n + m)
+    return spread.mapInArrow(kernel, "key bigint, node bigint")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, text_col: str, words: int) -> DataFrame:
@@ -121,22 +141,16 @@ def _sets(docs: DataFrame, nodes: DataFrame, text_col: str, words: int) -> DataF
     source = docs.join(nodes, ["_one", "_two"]).select("node", F.col(text_col).alias("text"))
 
     def kernel(batches):
+        hasher = Hasher()
         for batch in batches:
-            for node, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                got = shingles(t.as_py(), words).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([node], pa.int64()), pa.array([got], pa.list_(pa.int64()))], names=["node", "shingles"])
-
-    # equal rows of documents are found several times
-    return source.dropDuplicates(["node"]).mapInArrow(kernel, "node bigint, shingles array<bigint>")
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                got = [shingles.view(np.int64) for shingles, _ in features(part.column(1).to_pylist(), words, hasher)]
+                ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *got])))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["node", "shingles"])
 
-
-def _verified(pairs: DataFrame, sets_of, scratch: Scratch) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar.  Only the sets of the pairs' nodes are made."""
-    pairs = scratch.keep(pairs)
-    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.where(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")
+    return source.mapInArrow(kernel, "node bigint, shingles array<bigint>")
 
 
 def link_sets(roots: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -151,6 +165,8 @@ def link_sets(roots: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]
     for i in range(len(sets)):
         if (root == root[0]).all():
             break
+        if not size[i]:
+            continue
         mates = np.concatenate([held[begin[w] : begin[w + 1]] for w in which[mine[i] : mine[i + 1]].tolist()])
         near = np.flatnonzero((9 * np.bincount(mates, minlength=len(sets)) >= 4 * (size[i] + size)) & (root != root[i]))
         if len(near):
@@ -161,12 +177,12 @@ def link_sets(roots: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]
 
 
 def _gathered(hot: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) links within hot shingles, rows of (shingle, node, root)."""
-    sizes = hot.groupBy("shingle").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    """(a, b) links within keys, or whatever ``key`` names, rows of (key, node, root)."""
+    sizes = hot.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    dealt = hot.join(sizes, "shingle").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    by = ["shingle", "x", "y"]
-    dealt = dealt.select("shingle", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "node", "root").join(sets, "node").select(*by, "node", "root", "shingles")
+    dealt = hot.join(sizes, "key").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    by = ["key", "x", "y"]
+    dealt = dealt.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "node", "root").join(sets, "node").select(*by, "node", "root", "shingles")
 
     def solve(rows):
         got = link_sets([r[1] for r in rows], [r[2] for r in rows]) if len(rows) > 1 else []
@@ -191,45 +207,66 @@ def near_copy_classes(rows: DataFrame, id_col: str, text_col: str = "text", word
     """(id, _one, _two, root): the rows' ids, and the node that names the class of each.  ``_one`` and ``_two`` of ``rows`` are hashes that name a row."""
     scratch = Scratch(rows.sparkSession, "nearcopies")
     named = scratch.keep(with_nodes(rows.withColumn("_id", F.col(id_col)), ["_id", "_one", "_two"], text_col, words))
-    blocks = scratch.keep(prefixes(rows, text_col, words))
-    several = scratch.keep(blocks.groupBy("shingle").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("shingle"))
-    shared = scratch.keep(blocks.join(several, "shingle", "left_semi").distinct())
-    scratch.drop(blocks)
-    sizes = shared.groupBy("shingle").agg(F.count("*").alias("size"))
-    shared = scratch.keep(shared.join(sizes, "shingle"))
-    one = scratch.keep(named.groupBy("node").agg(F.min(F.struct("_one", "_two")).alias("r")).select("node", "r._one", "r._two"))
-
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        return scratch.keep(_sets(rows, scratch.keep(one.join(scratch.keep(nodes), "node")), text_col, words))
-
-    few, hot = shared.where(F.col("size") <= HOT), shared.where(F.col("size") > HOT)
-
-    def met(of: DataFrame) -> DataFrame:
-        side = lambda p: of.select("shingle", *(F.col(c).alias(p + c) for c in ("node", "n", "pos")))
-        both = side("x").join(side("y"), "shingle").where((F.col("xnode") < F.col("ynode")) & _possible(*map(F.col, ("xn", "yn", "xpos", "ypos"))))
-        return _verified(both.select(F.col("xnode").alias("a"), F.col("ynode").alias("b")).distinct(), sets_of, scratch)
-
-    links = scratch.keep(met(few))
-    hot = scratch.keep(hot.select("shingle", "node", "n", "pos", F.col("node").alias("root")))
+    one = scratch.keep(named.groupBy("node").agg(F.min(F.struct("_one", "_two", *_LANES)).alias("r")).select("node", "r.*"))
+    count = one.count()
+    several = scratch.keep(keys(one, count).groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+    shared = scratch.keep(keys(one, count).join(several, "key"))
+    # how many others a node shares keys with: a text that copies were made of shares more than they do among themselves
+    ranks = scratch.keep(shared.groupBy("node").agg(F.sum("size").alias("rank")))
+    sets = scratch.keep(_sets(rows, one.join(ranks, "node").select("node", "_one", "_two").dropDuplicates(["node"]), text_col, words).dropDuplicates(["node"]))
+    side = lambda of, c: of.withColumnsRenamed({n: f"{c}_{n}" for n in of.columns if n != "node"} | {"node": c})
+    prints = one.join(ranks, "node").select("node", *_LANES)
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) within FAR bits."""
+        both = pairs.join(side(prints, "a"), "a").join(side(prints, "b"), "b")
+        apart = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in _LANES), F.lit(0))
+        return scratch.keep(both.where(apart <= FAR).select("a", "b"))
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) whose sets are similar."""
+        both = pairs.join(side(sets, "a"), "a").join(side(sets, "b"), "b")
+        return both.where(9 * F.size(F.array_intersect("a_shingles", "b_shingles")) >= 4 * (F.size("a_shingles") + F.size("b_shingles"))).select("a", "b")
+
+    def apart(of: DataFrame, by: str, within: str = "key") -> DataFrame:
+        """Names and sizes of those keys whose members are apart."""
+        return of.groupBy(within).agg(F.min(by).alias("x"), F.max(by).alias("y"), F.count("*").alias("size")).where("x <> y").select(within, "size")
+
+    me = F.struct("rank", "node")
+    open_ = scratch.keep(shared.join(ranks, "node").select("key", "node", "rank", F.col("node").alias("root"), F.lit(None).cast("struct<rank:bigint,node:bigint>").alias("last")))
+    links, close = [], []
     for _ in range(ROUNDS):
-        if hot.isEmpty():
-            break
-        lead = hot.groupBy("shingle").agg(F.min(F.struct("node", "n", "pos")).alias("lead"))
-        led = scratch.keep(hot.select("shingle", "node", "n", "pos").join(lead, "shingle").where("node <> lead.node"))
-        tried = led.where(_possible(F.col("n"), F.col("lead.n"), F.col("pos"), F.col("lead.pos"))).select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct()
-        links = scratch.keep(links.unionByName(_verified(tried, sets_of, scratch)).distinct())
-        roots = connected_components(links, scratch)
-        known = led.select("shingle", "node", "n", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        apart = known.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("shingle")
-        hot = scratch.keep(known.join(apart, "shingle", "left_semi"))
+        # the leader of a key stands below those that have led it already
+        lead = open_.where(F.col("last").isNull() | (me < F.col("last"))).groupBy("key").agg(F.max(me).alias("lead"))
+        led = scratch.keep(open_.drop("last").join(lead, "key"))
+        pairs = led.where("root <> lead.node AND node <> lead.node").groupBy("node").agg(F.max("lead").alias("lead")).select(F.col("lead.node").alias("a"), F.col("node").alias("b"))
+        close.append(near(pairs))
+        links.append(scratch.keep(similar(close[-1])))
+        # who is linked takes the root that the leader had: nodes of one root are connected, though not all that are connected have one root yet
+        had = led.select(F.col("node").alias("a"), F.col("root").alias("new")).distinct()
+        hung = links[-1].join(had, "a").select(F.col("b").alias("node"), "new")
+        known = led.join(hung, "node", "left").select("key", "node", "rank", F.coalesce("new", "root").alias("root"), F.col("lead").alias("last"))
+        known = scratch.keep(known)
+        open_ = scratch.keep(known.join(apart(known, "root").select("key"), "key", "left_semi"))
+    families = connected_components(reduce(DataFrame.unionByName, close), scratch).withColumnRenamed("root", "family")
+    members = open_.select("node", "root").distinct().join(families, "node", "left").withColumn("family", F.coalesce("family", "node"))
+    members = scratch.keep(members)
+    family = members.join(apart(members, "root", "family").select("family"), "family", "left_semi").select(F.col("family").alias("key"), "node", "root")
+    links.append(scratch.keep(_gathered(scratch.keep(family), sets)))
+    # what is left: nodes of a key in different families
+    wide = scratch.keep(open_.select("key", "node").join(members.select("node", "family"), "node"))
+    wide = scratch.keep(wide.join(apart(wide, "family"), "key"))
+    few = wide.where(F.col("size") <= HOT)
+    end = lambda c: few.select("key", F.col("node").alias(c), F.col("family").alias(f"{c}_family"))
+    met = end("a").join(end("b"), "key").where("a < b AND a_family <> b_family").select("a", "b").distinct()
+    links.append(scratch.keep(similar(near(met))))
+    hot = wide.where(F.col("size") > HOT)
     if not hot.isEmpty():
-        per = hot.groupBy("shingle", "root").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(SEED), "node")).alias("y"))
-        members = scratch.keep(per.groupBy("shingle").agg(F.sum("m").alias("size"), F.count("*").alias("roots"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")))
-        loose = (F.col("size") <= LOOSE) & (F.col("roots") > 0.9 * F.col("size"))
-        links = scratch.keep(links.unionByName(met(hot.join(members.where(loose), "shingle", "left_semi"))))
-        dense = members.where(~loose).groupBy("size", "x", "y").agg(F.min("shingle").alias("shingle"))
-        hot = scratch.keep(hot.join(dense.select("shingle"), "shingle", "left_semi"))
-        links = scratch.keep(links.unionByName(_gathered(hot.select("shingle", "node", "root"), sets_of(hot.select("node").distinct()))).distinct())
+        # keys of the same members are one
+        per = hot.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(42), "node")).alias("y"))
+        kinds = scratch.keep(per.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key"))
+        links.append(scratch.keep(_gathered(scratch.keep(hot.join(kinds, "key", "left_semi").select("key", "node", F.col("node").alias("root"))), sets)))
+    links = reduce(DataFrame.unionByName, links)
     roots = scratch.keep(connected_components(links, scratch))
     scratch.only(named, roots)
     return named.join(roots, "node", "left").select(F.col("_id").alias("id"), "_one", "_two", F.coalesce("root", "node").alias("root"))
