@@ -5,23 +5,30 @@ from collections import Counter
 
 import pytest
 
-from moraine.llm import passages, suffixes
-from moraine.llm._common import Scratch
+from moraine.llm import suffixes, words as word_module
 
 
+@pytest.mark.parametrize("hot", [256, 1])
 @pytest.mark.parametrize("words", [1, 3, 20])
-def test_passages_against_brute_force(spark, monkeypatch, words):
-    monkeypatch.setattr(passages, "AT_ONCE", 7)
+def test_passages_against_brute_force(spark, monkeypatch, words, hot):
+    monkeypatch.setattr(word_module, "AT_ONCE", 7)
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    monkeypatch.setattr(suffixes, "CHUNK", 64)
     r = random.Random(words)
     parts = [" ".join(r.choice(["a", "bb", "é", "d-1"]) for _ in range(n)) for n in (5, 24, 30)]
     texts = [r.choice(["", " ", "x\t"]) + r.choice([" ", "\n ", " q "]).join(r.choice([*parts, f"w{i}"]) for i in range(r.randrange(9))) for _ in range(40)] + [None, "", parts[1], parts[1]]
-    seen = Counter(tuple(t.split()[i : i + words]) for t in texts if t for i in range(len(t.split()) - words + 1))
+    cut = [(t or "").split() for t in texts]
+    seen = Counter(tuple(t[i : i + words]) for t in cut for i in range(len(t) - words + 1))
+    want = []
+    for t in cut:
+        hit = sorted({p for i in range(len(t) - words + 1) if seen[tuple(t[i : i + words])] > 1 for p in range(i, i + words)})
+        # maximal runs: windows that touch are one
+        runs = suffixes.merge_spans((i, i + words) for i in range(len(t) - words + 1) if seen[tuple(t[i : i + words])] > 1)
+        assert sorted(p for s, e in runs for p in range(s, e)) == hit
+        want.append([t[s:e] for s, e in runs])
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
-    found = passages.repeated_passages(docs, 42, words=words, scratch=Scratch(spark, "test"))
-    names = {x.tid: x.text for x in docs.where("text IS NOT NULL").select(suffixes.text_id(docs.text, 42).alias("tid"), "text").collect()}
-    got = Counter((names[x.tid], tuple(names[x.tid].encode()[x.s : x.e].decode().split())) for x in found.collect())
-    want = Counter((t, w) for t in {t for t in texts if t} for i in range(len(t.split()) - words + 1) if seen[w := tuple(t.split()[i : i + words])] > 1)
-    assert got == want and want
+    got = {x.id: [(texts[x.id] or "").encode()[p.start : p.end].decode().split() for p in x.passages] for x in suffixes.repeated_bytes(docs, words=words).collect()}
+    assert [got[i] for i in range(len(texts))] == want and any(want)
 
 
 def test_pipeline_cuts_passages_of_51_words(spark, sf_dir):

@@ -19,6 +19,8 @@ def test_against_brute_force(spark, monkeypatch, hot, seed):
     r = random.Random(seed)
     pieces = ["".join(r.choice("abé") for _ in range(r.choice([3, 12, 25, 40]))) for _ in range(12)]
     texts = ["".join(r.choice(pieces) for _ in range(r.randint(0, 8))) for _ in range(50)] + ["a" * 90, "", None, "a" * 30, "ab" * 50]
+    # one passage in very many texts, with other bytes around it: windows differ at both ends
+    texts += [r.choice("xyz") * r.randint(0, 6) + pieces[0] * 2 + r.choice("xyz") * r.randint(0, 6) for _ in range(40)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = spans_of(suffixes.repeated_bytes(df, length=20))
     assert [got[i] for i in range(len(texts))] == brute.repeated_spans(texts, 20)
@@ -40,6 +42,13 @@ def test_query_against_brute_force(spark, sf_dir):
     assert any(want)
 
 
+def test_query_matches_sql(spark, sf_dir):
+    from moraine.llm import catalog
+    from oracles import duck, same_rows
+
+    same_rows(catalog.op1_suffix_dedup(spark, sf_dir), duck(sf_dir), catalog.OP1_SQL)
+
+
 def test_suffix_sort_and_collisions(monkeypatch):
     r = np.random.default_rng(2)
     buf = r.integers(97, 99, 400, dtype=np.uint8)
