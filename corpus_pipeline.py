@@ -9,16 +9,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.llm import decontaminate, mixing, nearcopies, passages, suffixes, toxicity
+from moraine.llm import decontaminate, mixing, nearcopies, suffixes, toxicity
 from moraine.llm._common import Scratch
 from moraine.llm.catalog import held_out, table
 
 #: near-duplicates: words of a shingle; texts of a Jaccard similarity of 0.8 or more are near copies
 SHINGLE = 5
+#: words of a repeated passage, whatever its bytes
+PASSAGE = 51
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores below 0.5.  It learns from the labelled rows that op10 learns from."""
+    """Documents that the classifier scores below 0.5.  It learns from the labelled rows that op10 learns from.  Null and empty texts get the
+    base score, which clean texts have as well; repeated rows are judged alike."""
     model = toxicity.train(docs.where(~held_out("doc_id")), table(spark, sf_dir, "labels"))
     return toxicity.reject_toxic(docs, model)
 
@@ -29,26 +32,27 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Documents without words all have no shingles; they are one group.
     """
     text = F.coalesce("text", F.lit(""))
-    # two hashes name a row's document: its id and text
-    rows = docs.withColumn("_one", F.xxhash64("doc_id", text)).withColumn("_two", F.xxhash64(text, F.lit("two"), "doc_id"))
-    groups = nearcopies.near_copy_classes(rows, "doc_id", "text", SHINGLE)
+    # two hashes name a row's document, its id and text; the row itself travels as one column, so that no name can clash
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), text.alias("text"), F.xxhash64("doc_id", text).alias("_one"), F.xxhash64(text, F.lit("two"), "doc_id").alias("_two"))
+    groups = nearcopies.near_copy_classes(rows, "id", "text", SHINGLE)
     first = groups.groupBy("root").agg(F.min(F.struct("id", "_one", "_two")).alias("id")).select("id._one", "id._two")
     # rows repeated whole are one document as well
-    return rows.join(first, ["_one", "_two"], "left_semi").dropDuplicates(["_one", "_two"]).drop("_one", "_two")
+    return rows.join(first, ["_one", "_two"], "left_semi").dropDuplicates(["_one", "_two"]).select("row.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without passages of 400 bytes or of over 50 words that also stand elsewhere; n_chars follows the text."""
-    return suffixes.remove_repeats(docs, size_col="n_chars", words=passages.WORDS)
+    """All documents, without passages of 400 bytes or of over 50 words that also stand elsewhere; n_chars follows the text.  Null and empty texts stay as
+    they are; a text that stands twice, in repeated rows as well, is cut in all of them."""
+    return suffixes.remove_repeats(docs, size_col="n_chars", words=PASSAGE)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item.  Null and empty texts hold none; repeated rows stay or go together."""
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per document: what the mix takes of it."""
+    """One row per document: what the mix takes of it.  Null and empty texts have size 0; a null source is the last one; repeated rows are mixed each."""
     return mixing.mix_to_weights(docs).select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "copies", "taken")
 
 
