@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 #: bytes A-Z to a-z, all other bytes (hence all of UTF-8 beyond ASCII) unchanged
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -41,6 +42,15 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session that hands its rows to Python workers in batches of ``BATCH_BYTES``: ten thousand long texts, Spark's own bound,
+    would fill a worker, and the JVM's memory for the transfer as well.  A bound that the session was started with stays."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getConf().contains(BATCH_CONF):
+        spark.conf.set(BATCH_CONF, BATCH_BYTES)
+    return df
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from moraine.llm._common import small_batches
 from moraine.llm.sampling import choose, text_hash, texts_of
 
 WORD = re.compile(r"[^\W\d_]+")  # letters, and signs such as ² that letters() takes out
@@ -345,4 +346,4 @@ def identify(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays(arrays, names=["id", "lang", "score", "n_words"] + ["spans"] * spans)
 
     schema = f"id {source.schema['id'].dataType.simpleString()}, lang string, score double, n_words bigint" + ", spans array<struct<first:bigint,words:bigint,lang:string>>" * spans
-    return source.mapInArrow(kernel, schema)
+    return source.transform(small_batches).mapInArrow(kernel, schema)

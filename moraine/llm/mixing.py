@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from moraine.llm._common import Scratch
+from moraine.llm._common import Scratch, small_batches
 
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -132,7 +132,7 @@ def mix_to_weights(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     done, first = [], True
     while True:
         leaves = live.repartition("source_idx", "cls", "bucket") if first else live.repartition(max(1, buckets), "source_idx", "cls", "bucket")
-        moved = scratch.keep(leaves.sortWithinPartitions("source_idx", "cls", "bucket", "size", "h", "id").mapInArrow(_pivot(seed), live.schema))
+        moved = scratch.keep(leaves.sortWithinPartitions("source_idx", "cls", "bucket", "size", "h", "id").transform(small_batches).mapInArrow(_pivot(seed), live.schema))
         done.append(moved.where("NOT open"))
         live, first = moved.where("open"), False
         if buckets > 1:

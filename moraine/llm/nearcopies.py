@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moraine.llm._common import ASCII_LOWER, Scratch, connected_components
+from moraine.llm._common import ASCII_LOWER, Scratch, connected_components, small_batches
 from moraine.llm.words import Hasher, each_word, mix, word_places
 
 WORDS, FEATURE = 5, 2
@@ -112,7 +112,7 @@ def with_nodes(docs: DataFrame, keep: list[str], text_col: str, words: int) -> D
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(nodes, pa.int64()), *(pa.array(prints[:, i]) for i in range(LANES))], names=[*keep, "node", *_LANES])
 
     fields = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
-    return source.mapInArrow(kernel, f"{fields}, node bigint, " + ", ".join(f"{c} bigint" for c in _LANES))
+    return source.transform(small_batches).mapInArrow(kernel, f"{fields}, node bigint, " + ", ".join(f"{c} bigint" for c in _LANES))
 
 
 def block_keys(prints: np.ndarray) -> np.ndarray:
@@ -133,7 +133,7 @@ def keys(prints: DataFrame, count: int) -> DataFrame:
                 got = block_keys(np.ascontiguousarray(lanes[a : a + 256]))
                 yield pa.RecordBatch.from_arrays([pa.array(got.ravel()), pa.array(np.repeat(node[a : a + 256], got.shape[1]))], names=["key", "node"])
 
-    return spread.mapInArrow(kernel, "key bigint, node bigint")
+    return spread.transform(small_batches).mapInArrow(kernel, "key bigint, node bigint")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, text_col: str, words: int) -> DataFrame:
@@ -150,7 +150,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, text_col: str, words: int) -> DataF
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *got])))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["node", "shingles"])
 
-    return source.mapInArrow(kernel, "node bigint, shingles array<bigint>")
+    return source.transform(small_batches).mapInArrow(kernel, "node bigint, shingles array<bigint>")
 
 
 def link_sets(roots: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -200,7 +200,7 @@ def _gathered(hot: DataFrame, sets: DataFrame) -> DataFrame:
         if rows:
             yield solve(rows)
 
-    return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(kernel, "a bigint, b bigint").distinct()
+    return dealt.repartition(*by).sortWithinPartitions(*by).transform(small_batches).mapInArrow(kernel, "a bigint, b bigint").distinct()
 
 
 def near_copy_classes(rows: DataFrame, id_col: str, text_col: str = "text", words: int = WORDS) -> DataFrame:

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from moraine.llm._common import small_batches
 
 HEAD = "<4sBBqIIIB"
 HEAD_SIZE = struct.calcsize(HEAD)
@@ -216,4 +217,4 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     id_type = source.schema["id"].dataType.simpleString()
     schema = f"id {id_type}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string" + ", media binary" * keep_media
-    return source.mapInArrow(kernel, schema)
+    return source.transform(small_batches).mapInArrow(kernel, schema)

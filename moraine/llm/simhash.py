@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moraine.llm._common import ASCII_LOWER, Scratch, connected_components
+from moraine.llm._common import ASCII_LOWER, Scratch, connected_components, small_batches
 
 SEED = 42
 HOT = 8  # fingerprints of a block that is still joined with itself: 28 pairs at most
@@ -67,7 +67,7 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             values = [pa.array(np.array([fingerprint(t, words, seed) for t in texts], np.uint64).view(np.int64)) for seed in seeds]
             yield pa.RecordBatch.from_arrays([batch.column(0), *values], names=["id", *names])
 
-    return source.mapInArrow(kernel, f"id {source.schema['id'].dataType.simpleString()}, " + ", ".join(f"{n} bigint" for n in names))
+    return source.transform(small_batches).mapInArrow(kernel, f"id {source.schema['id'].dataType.simpleString()}, " + ", ".join(f"{n} bigint" for n in names))
 
 
 def block_masks(d: int) -> np.ndarray:
@@ -93,7 +93,7 @@ def block_keys(fps: DataFrame, d: int) -> DataFrame:
                 bits = (part[:, None] & masks[None, :]).ravel().view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(n, dtype=np.int32), len(part))), pa.array(bits), pa.array(np.repeat(part, n).view(np.int64))], names=["choice", "bits", "fp"])
 
-    return spread.mapInArrow(kernel, "choice int, bits bigint, fp bigint")
+    return spread.transform(small_batches).mapInArrow(kernel, "choice int, bits bigint, fp bigint")
 
 
 def reach(fps: np.ndarray, d: int) -> list[tuple[int, int]]:
@@ -134,7 +134,7 @@ def _hot_links(rows: DataFrame, d: int) -> DataFrame:
         if len(fps) > 1:
             yield solve(fps)
 
-    return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(kernel, "a bigint, b bigint")
+    return dealt.repartition(*by).sortWithinPartitions(*by).transform(small_batches).mapInArrow(kernel, "a bigint, b bigint")
 
 
 def close_links(fps: DataFrame, scratch: Scratch, max_distance: int = 2, hot: int = HOT) -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from moraine.llm._common import Scratch
+from moraine.llm._common import Scratch, small_batches
 from moraine.llm.words import Hasher, each_word, mix, word_places
 
 LENGTH = 400
@@ -142,7 +142,7 @@ def _anchors(texts: DataFrame, length: int, step: int = 1) -> DataFrame:
             if parts:
                 yield work(parts)
 
-    return texts.mapInArrow(kernel, "gram bigint, run binary, tid bigint, place bigint")
+    return texts.transform(small_batches).mapInArrow(kernel, "gram bigint, run binary, tid bigint, place bigint")
 
 
 def _lcp(h, hasher, i, j, limit: int):
@@ -282,7 +282,7 @@ def _slices(asked: DataFrame, length: int, step: int = 1) -> DataFrame:
                         rows, size = [], 0
             yield pack(rows)
 
-    return asked.mapInArrow(kernel, schema)
+    return asked.transform(small_batches).mapInArrow(kernel, schema)
 
 
 def _hot_repeats(rows: DataFrame, length: int, step: int, scratch: Scratch) -> DataFrame:
@@ -345,7 +345,7 @@ def _sorted_repeats(runs: DataFrame, length: int, step: int = 1) -> DataFrame:
         if rows:
             yield _interval_batch(list(solve(rows)))
 
-    return runs.select("gram", "place", "tid", "data").repartition("gram").sortWithinPartitions("gram", "tid", "place").mapInArrow(kernel, "tid bigint, s bigint, e bigint")
+    return runs.select("gram", "place", "tid", "data").repartition("gram").sortWithinPartitions("gram", "tid", "place").transform(small_batches).mapInArrow(kernel, "tid bigint, s bigint, e bigint")
 
 
 def _split(who: np.ndarray, off: np.ndarray):
@@ -372,7 +372,7 @@ def _zipped(docs: DataFrame, tid_and_text, *keep: str, once: bool = False) -> Da
             yield pa.RecordBatch.from_arrays([batch.column(0), z, *batch.columns[2:]], names=["tid", "z", *batch.schema.names[2:]])
 
     schema = StructType([StructField("tid", LongType()), StructField("z", BinaryType()), *(source.schema[c] for c in keep)])
-    return source.mapInArrow(kernel, schema)
+    return source.transform(small_batches).mapInArrow(kernel, schema)
 
 
 def _named(docs: DataFrame, text_col: str, scratch: Scratch):
@@ -493,7 +493,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     id_type = docs.schema[id_col].dataType.simpleString()
     spans_type = "array<struct<start:bigint,end:bigint>>"
-    return joined.mapInArrow(kernel, f"id {id_type}, n_bytes bigint, n_removed bigint, spans {spans_type}, kept_sha256 string, passages {spans_type}")
+    return joined.transform(small_batches).mapInArrow(kernel, f"id {id_type}, n_bytes bigint, n_removed bigint, spans {spans_type}, kept_sha256 string, passages {spans_type}")
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, size_col: str | None = None, words: int | None = None) -> DataFrame:
@@ -525,4 +525,4 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
             yield pa.RecordBatch.from_arrays([cols[c] for c in names], names=names)
 
     names = docs.columns
-    return joined.mapInArrow(kernel, docs.schema)
+    return joined.transform(small_batches).mapInArrow(kernel, docs.schema)

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from moraine.llm._common import small_batches
 from moraine.llm.sampling import choose, text_hash, texts_of
 
 BUCKETS = 20  # bits
@@ -115,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([features_of(t.as_py()).tobytes() for t in batch.column(2)], pa.binary())], names=["h", "label", "features"])
 
-    got = texts_of(docs, text_col, chosen, "int").mapInArrow(kernel, "h bigint, label int, features binary").dropDuplicates(["h", "label"]).collect()
+    got = texts_of(docs, text_col, chosen, "int").transform(small_batches).mapInArrow(kernel, "h bigint, label int, features binary").dropDuplicates(["h", "label"]).collect()
     got.sort(key=lambda r: (r["h"], r["label"]))
     return fit([np.frombuffer(r["features"], np.int32) for r in got], np.array([r["label"] for r in got]))
 
@@ -140,7 +141,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             s = np.array([score_text(t.as_py(), weights.value, bias) for t in batch.column(1)], float)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=["id", "score", "predicted"])
 
-    return source.mapInArrow(kernel, f"id {source.schema['id'].dataType.simpleString()}, score double, predicted int")
+    return source.transform(small_batches).mapInArrow(kernel, f"id {source.schema['id'].dataType.simpleString()}, score double, predicted int")
 
 
 def reject_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -151,4 +152,4 @@ def reject_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshol
         for batch in batches:
             yield batch.filter(pa.array([score_text(t.as_py(), weights.value, bias) < threshold for t in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(kernel, schema)
+    return docs.transform(small_batches).mapInArrow(kernel, schema)

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moraine.llm._common import ascii_lower
+from moraine.llm._common import ascii_lower, small_batches
 
 PER_SALT = 20_000  # urls of an ancestor that are swept together, about
 
@@ -76,7 +76,7 @@ def match_rules(urls: DataFrame, rules: DataFrame, per_salt: int = PER_SALT) ->
     keys = keys.join(salts, "ancestor").select("ancestor", salt.alias("salt"), F.concat("ancestor", F.lit("/"), "path").alias("key"), F.lit(True).alias("is_url"), "url", none("string").alias("rule"), none("string").alias("action"), none("int").alias("size"))
     opened = usable.join(salts, "ancestor").select("ancestor", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.concat("ancestor", F.lit("/"), "path").alias("key"), F.lit(False).alias("is_url"), none("string").alias("url"), "rule", "action", "size")
     events = keys.unionByName(opened).repartition("ancestor", "salt").sortWithinPartitions("ancestor", "salt", "key", "is_url", F.col("action").desc(), "url")
-    hits = events.mapInPandas(_sweep, "url string, rule string, action string, size int, depth int")
+    hits = events.transform(small_batches).mapInPandas(_sweep, "url string, rule string, action string, size int, depth int")
     best = hits.groupBy("url").agg(F.max_by(F.struct("rule", "action"), F.struct("size", "depth")).alias("best"))
     return each.join(best, "url", "left").select("url", "host", "path", F.col("best.rule").alias("rule"), F.col("best.action").alias("action"))
 

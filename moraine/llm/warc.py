@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from moraine.llm._common import ascii_lower
+from moraine.llm._common import ascii_lower, small_batches
 
 #: fixed values: headers that a 304 may not change in a stored response
 KEPT_HEADERS = ["connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-authorization", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade"]
@@ -145,7 +145,7 @@ def capture_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
                 out.append(write_record(f"urn:moraine:{name}:full", "response", url, seen, 200, full, body) + write_record(f"urn:moraine:{name}:visit", "revisit", url, seen + timedelta(days=2), 304, asks, b""))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["warc"])
 
-    return source.mapInArrow(kernel, "warc binary")
+    return source.transform(small_batches).mapInArrow(kernel, "warc binary")
 
 
 def parse_warc(files: DataFrame, warc_col: str = "warc") -> DataFrame:
@@ -159,7 +159,7 @@ def parse_warc(files: DataFrame, warc_col: str = "warc") -> DataFrame:
             cols = [[list(r[n].items()) if n == "headers" else r[n] for r in rows] for n in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
-    return files.select(warc_col).mapInArrow(kernel, RECORD)
+    return files.select(warc_col).transform(small_batches).mapInArrow(kernel, RECORD)
 
 
 def resolve_revisits(records: DataFrame, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
