@@ -16,11 +16,10 @@ Verification
     Pairs within a quarter of the bits, then those whose sets, gathered once for the nodes that share keys, are similar.
 Hot keys
     No key is joined with itself unless few of its members are still apart.  First each node is paired with one leader: of those who lead a key
-    of its own, the one that shares the most keys with others, as the text that a group's copies were made of does.  ``ROUNDS`` such rounds,
-    each with leaders not tried yet; a key whose members are connected by then is done.  The others fall into families, which pairs
-    within ``FAR`` bits of their leader connect; the sets of each family that isn't connected are gathered, once each, in chunks of ``CHUNK``, a task for
-    each pair of chunks, where only links that connect what isn't connected yet are emitted.  What keys share across families is joined if they have up to
-    ``HOT`` members, else gathered in the same way.  So all similar nodes of a key end up connected, and no pairs are multiplied out.
+    of its own, the one that shares the most keys with others, as the text that a group's copies were made of does.  Pairs within ``FAR`` bits make
+    families, similar ones links.  The sets of each family that links leave apart are gathered, once each, in chunks of ``CHUNK``, a task for each pair of chunks,
+    where only links that connect what isn't connected yet are emitted.  What keys share across families is joined if they have up to ``HOT`` members, else
+    gathered in the same way.  So all similar nodes of a key end up connected, and no pairs are multiplied out.
 
 Defined results: null and empty texts have no shingles and are one node; repeated rows stay repeated; ties go to the larger node number; an empty table
 gives an empty result; other columns of the input are ignored, whatever their names.  Shingles, runs and nodes are 64-bit hashes.
@@ -44,7 +43,7 @@ LANES = 6  # 64-bit numbers of a fingerprint
 BITS = 64 * LANES
 BLOCKS = BITS // 16
 FAR = BITS // 4  # bits that candidates may differ in
-HOT, ROUNDS = 8, 2
+HOT = 8  # members of a key that is joined with itself across families
 CHUNK = 1 << 13  # members of a family or hot key that are gathered together, twice as many at most
 SPREAD = 4096  # fingerprints whose keys one task makes
 PIECE = 1 << 20  # bytes of texts cut into words at a time, a text more at most
@@ -232,29 +231,18 @@ def near_copy_classes(rows: DataFrame, id_col: str, text_col: str = "text", word
         """Names and sizes of those keys whose members are apart."""
         return of.groupBy(within).agg(F.min(by).alias("x"), F.max(by).alias("y"), F.count("*").alias("size")).where("x <> y").select(within, "size")
 
-    me = F.struct("rank", "node")
-    open_ = scratch.keep(shared.join(ranks, "node").select("key", "node", "rank", F.col("node").alias("root"), F.lit(None).cast("struct<rank:bigint,node:bigint>").alias("last")))
-    links, close = [], []
-    for _ in range(ROUNDS):
-        # the leader of a key stands below those that have led it already
-        lead = open_.where(F.col("last").isNull() | (me < F.col("last"))).groupBy("key").agg(F.max(me).alias("lead"))
-        led = scratch.keep(open_.drop("last").join(lead, "key"))
-        pairs = led.where("root <> lead.node AND node <> lead.node").groupBy("node").agg(F.max("lead").alias("lead")).select(F.col("lead.node").alias("a"), F.col("node").alias("b"))
-        close.append(near(pairs))
-        links.append(scratch.keep(similar(close[-1])))
-        # who is linked takes the root that the leader had: nodes of one root are connected, though not all that are connected have one root yet
-        had = led.select(F.col("node").alias("a"), F.col("root").alias("new")).distinct()
-        hung = links[-1].join(had, "a").select(F.col("b").alias("node"), "new")
-        known = led.join(hung, "node", "left").select("key", "node", "rank", F.coalesce("new", "root").alias("root"), F.col("lead").alias("last"))
-        known = scratch.keep(known)
-        open_ = scratch.keep(known.join(apart(known, "root").select("key"), "key", "left_semi"))
-    families = connected_components(reduce(DataFrame.unionByName, close), scratch).withColumnRenamed("root", "family")
-    members = open_.select("node", "root").distinct().join(families, "node", "left").withColumn("family", F.coalesce("family", "node"))
+    ranked = scratch.keep(shared.join(ranks, "node").select("key", "node", F.struct("rank", "node").alias("me")))
+    led = ranked.join(ranked.groupBy("key").agg(F.max("me").alias("lead")), "key").where("node <> lead.node")
+    close = near(led.groupBy("node").agg(F.max("lead").alias("lead")).select(F.col("lead.node").alias("a"), F.col("node").alias("b")))
+    links = [scratch.keep(similar(close))]
+    roots = connected_components(links[0], scratch)
+    families = connected_components(close, scratch).withColumnRenamed("root", "family")
+    members = ranks.select("node").join(families, "node", "left").join(roots, "node", "left").select("node", F.coalesce("family", "node").alias("family"), F.coalesce("root", "node").alias("root"))
     members = scratch.keep(members)
     family = members.join(apart(members, "root", "family").select("family"), "family", "left_semi").select(F.col("family").alias("key"), "node", "root")
     links.append(scratch.keep(_gathered(scratch.keep(family), sets)))
     # what is left: nodes of a key in different families
-    wide = scratch.keep(open_.select("key", "node").join(members.select("node", "family"), "node"))
+    wide = scratch.keep(shared.select("key", "node").join(members.select("node", "family"), "node"))
     wide = scratch.keep(wide.join(apart(wide, "family"), "key"))
     few = wide.where(F.col("size") <= HOT)
     end = lambda c: few.select("key", F.col("node").alias(c), F.col("family").alias(f"{c}_family"))
